@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeseek.functions.scoring import best
@@ -26,10 +26,9 @@ def retrieval_eval(hits: DataFrame, truth: DataFrame, ks: list[int]) -> DataFram
     found. All sums are over (query_id, doc_id), with a partial sum first.
     """
     ranked = hits.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best_rank"))
-    order = F.struct("best_rank", "doc_id")
-    lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(order)).alias("docs"))
-    ranked = lists.select("query_id", F.posexplode("docs").alias("place", "hit"))
-    ranked = ranked.select("query_id", F.col("hit.doc_id").alias("doc_id"), (F.col("place") + 1).alias("place"))
+    order = Window.partitionBy("query_id").orderBy("best_rank", "doc_id")
+    ranked = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(ks))
+    ranked = ranked.drop("best_rank")
 
     known = truth.select("query_id", "doc_id").distinct()
     placed = known.join(ranked, ["query_id", "doc_id"], "left")

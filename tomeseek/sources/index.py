@@ -121,6 +121,8 @@ def create_index(
     )
     layout.coalesce(1).write.parquet(f"{path}/layout")
     _register(spark, path)
+    for name in TABLES:  # an empty first partition, so that every table has its folder
+        spark.sql(f"ALTER TABLE {table_name(path, name)} ADD IF NOT EXISTS PARTITION (batch = -1)")
     return Index(spark, path, size, step, -1)
 
 
@@ -140,6 +142,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
     layout = _register(spark, path)
     for name in TABLES:
         spark.sql(f"MSCK REPAIR TABLE {table_name(path, name)}")
+        spark.catalog.refreshTable(table_name(path, name))
     last = spark.table(table_name(path, "corpus_stats")).agg(F.max("batch")).first()[0]
     return Index(spark, path, layout["size"], layout["step"], -1 if last is None else last)
 
