@@ -1,0 +1,115 @@
+from __future__ import annotations
+
+import os
+
+import pytest
+
+from tomeseek.operators.indexing import build_index, index_delta, refresh_index
+from tomeseek.operators.search import bm25_search
+from tomeseek.session import new_folder
+from tomeseek.sources.index import create_index, open_index, table_name
+from tomeseek.streaming.ingest import ingest_stream
+
+OLD = {1: "alpha beta", 2: "gamma " * 300, 3: "delta", 4: "", 5: "alpha alpha", 6: "same words here"}
+NEW = {1: "alpha beta", 2: "gamma " * 299 + "new", 4: "", 5: "", 6: "same words here", 7: "fresh beta", 8: "alpha"}
+QUERIES = {1: "alpha beta", 2: "gamma", 3: "delta new fresh", 4: "same"}
+
+
+def content(index):
+    """All an index holds, as plain rows."""
+    return [
+        sorted(map(str, df.collect()))
+        for df in (index.passages(), index.postings(), index.doc_state(), index.term_stats(), index.corpus_stats())
+    ]
+
+
+def test_delta(make_docs):
+    got = {r.doc_id: r.change for r in index_delta(make_docs(OLD), make_docs(NEW)).collect()}
+    assert got == {2: "changed", 3: "removed", 5: "changed", 7: "added", 8: "added"}
+
+
+def test_refresh_equals_a_new_build(make_docs, make_index, make_queries):
+    index = refresh_index(make_index(OLD), make_docs(NEW))
+    fresh = make_index(NEW)
+    assert content(index) == content(fresh)
+    asked = make_queries(QUERIES)
+    assert sorted(bm25_search(asked, index, 5).collect()) == sorted(bm25_search(asked, fresh, 5).collect())
+    # Documents that did not change were not written again.
+    again = index.table("passages").where("batch = 1").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in again} == {2, 7, 8}
+    back = refresh_index(index, make_docs(OLD))
+    assert content(back) == content(make_index(OLD))
+    assert content(back.before(2)) == content(fresh)
+    assert refresh_index(back, make_docs(OLD)).table("passages").where("batch = 3").isEmpty()
+
+
+def test_a_batch_written_again_counts_once(make_docs, make_index):
+    index = refresh_index(make_index(OLD), make_docs(NEW), batch=1)
+    once = content(index)
+    assert content(refresh_index(index, make_docs(NEW), batch=1)) == once
+
+
+def test_keep_missing(make_docs, make_index):
+    index = refresh_index(make_index(OLD), make_docs({7: "fresh"}), remove_missing=False)
+    assert content(index) == content(make_index(OLD | {7: "fresh"}))
+
+
+def test_an_unpublished_batch_is_not_seen(spark, make_docs, make_index):
+    index = make_index(OLD)
+    before = content(index)
+    refresh_index(index, make_docs(NEW))
+    spark.sql(f"ALTER TABLE {table_name(index.path, 'corpus_stats')} DROP PARTITION (batch = 1)")
+    assert content(open_index(spark, index.path)) == before or index.last_batch == 0
+    assert content(index) == before
+
+
+def test_open_in_a_new_catalog(spark, make_index):
+    index = make_index(OLD)
+    before = content(index)
+    for name in ("passages", "postings", "doc_state", "retired", "term_stats", "corpus_stats"):
+        spark.sql(f"DROP TABLE {table_name(index.path, name)}")
+    assert content(open_index(spark, index.path)) == before
+
+
+def test_empty_collection(make_docs, spark, make_queries):
+    index = build_index(make_docs({1: "x"}).where("doc_id > 1"), new_folder(spark, "none"), n_buckets=2)
+    assert bm25_search(make_queries(QUERIES), index, 3).collect() == []
+
+
+@pytest.mark.parametrize("files", [1, None])
+def test_stream_equals_batch(spark, make_docs, make_index, files):
+    source, state = new_folder(spark, "in"), new_folder(spark, "state")
+    index = create_index(spark, new_folder(spark, "streamed"), 3)
+    make_docs({k: OLD[k] for k in (1, 2)}).coalesce(1).write.mode("append").parquet(source)
+    make_docs({k: OLD[k] for k in (3, 4, 5)}).coalesce(1).write.mode("append").parquet(source)
+    index = ingest_stream(spark, source, index, state, max_files=files)
+    assert content(index) == content(make_index({k: OLD[k] for k in (1, 2, 3, 4, 5)}))
+    seen = index.last_batch
+    assert ingest_stream(spark, source, index, state).last_batch == seen
+    # New files: a document again, one with a new text, one that is new.
+    make_docs({1: OLD[1], 3: "delta changed", 6: OLD[6]}).coalesce(1).write.mode("append").parquet(source)
+    index = ingest_stream(spark, source, index, state)
+    assert content(index) == content(make_index(OLD | {3: "delta changed"}))
+    last = index.table("passages").where(f"batch = {index.last_batch}")
+    assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {3, 6}
+
+
+def test_a_micro_batch_run_again(spark, make_docs, make_index):
+    source, state = new_folder(spark, "in"), new_folder(spark, "state")
+    index = create_index(spark, new_folder(spark, "streamed"), 3)
+    make_docs(OLD).coalesce(1).write.parquet(source)
+    ingest_stream(spark, source, index, state)
+    # As after a crash between the write and Spark's own commit.
+    folder = f"{state}/stream/commits".removeprefix("file:")
+    for name in os.listdir(folder):
+        os.remove(f"{folder}/{name}")
+    index = ingest_stream(spark, source, index, state)
+    assert index.last_batch == 0 and content(index) == content(make_index(OLD))
+
+
+def test_two_texts_for_one_document(spark, make_docs):
+    source = new_folder(spark, "in")
+    make_docs({1: "one"}).union(make_docs({1: "two"})).coalesce(1).write.parquet(source)
+    index = create_index(spark, new_folder(spark, "streamed"), 3)
+    index = ingest_stream(spark, source, index, new_folder(spark, "state"))
+    assert index.doc_state().count() == 1 and index.passages().count() == 1

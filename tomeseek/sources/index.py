@@ -79,7 +79,7 @@ class Index:
 
     def term_stats_of(self, terms: DataFrame) -> DataFrame:
         """The same for the given terms only, which are looked up before the counts are added up."""
-        wanted = terms.select("term").distinct()
+        wanted = terms.select("term")
         if is_small(wanted):
             wanted = F.broadcast(wanted)
         counts = self.table("term_stats").join(wanted, "term", "left_semi")
