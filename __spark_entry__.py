@@ -118,13 +118,13 @@ def index_refresh(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of an index filled by a stream over the documents in four files."""
+    """Counts of an index filled by a stream over the documents in four files, two in each micro-batch."""
     docs = tables.documents(spark, folder)
     source = new_folder(spark, "incoming")
     docs.repartition(4, "doc_id").write.parquet(source)
     path = new_folder(spark, "streamed")
     index = indexing.create_index(spark, path, indexing.bucket_count(docs))
-    return ingest_stream(spark, source, index, new_folder(spark, "stream-state"), max_files=1).term_stats()
+    return ingest_stream(spark, source, index, new_folder(spark, "stream-state"), max_files=2).term_stats()
 
 
 # Search

@@ -49,6 +49,8 @@ def refresh_index(index: Index, new_docs: DataFrame, batch: int | None = None, r
     if not remove_missing:
         delta = delta.where(F.col("change") != "removed")
     delta = written(delta, "delta")
+    if batch > index.last_batch and delta.isEmpty():
+        return index
     fresh = new_docs.join(delta.where(F.col("change") != "removed"), "doc_id", "left_semi")
     retired = delta.where(F.col("change") != "added").select("doc_id")
     return write_batch(index, fresh, batch, retired)

@@ -91,7 +91,7 @@ class Index:
         counts = self.table("corpus_stats").agg(
             F.sum("n").alias("n"), F.sum("total_len").alias("total_len"), F.sum("n_docs").alias("n_docs")
         )
-        return counts.withColumn("avgdl", F.col("total_len") / F.col("n"))
+        return counts.withColumn("avgdl", F.try_divide("total_len", "n"))
 
     def corpus_value(self, name: str):
         """A corpus count as a scalar subquery, to be used within an expression."""
@@ -186,7 +186,7 @@ def write_batch(index: Index, docs: DataFrame, batch: int, retired: DataFrame |
 
     terms, corpus = _term_counts(posts), _corpus_counts(cut)
     if retired is None:
-        retired = spark.createDataFrame([], schemas.RETIRED)
+        retired = spark.range(0).withColumnRenamed("id", "doc_id")
     else:
         old = index.before(batch).passages()
         gone = old.join(F.broadcast(retired) if is_small(retired) else retired, "doc_id", "left_semi")
