@@ -41,13 +41,25 @@ def index(spark):
     return V.build_vector_index(frame(spark, "vec_id", POINTS), new_folder(spark, "test-vectors"), 6)
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("queries_at_once", [4096, 2])
 @pytest.mark.parametrize("k", [1, 10, 400])
-def test_exact_search(monkeypatch, spark, index, k, small):
-    monkeypatch.setattr(V, "_few_probes", lambda queries, index: small)
+def test_exact_search(monkeypatch, spark, index, k, queries_at_once):
+    monkeypatch.setattr(V, "BLOCK_QUERIES", queries_at_once)
     assert found(V.vector_search(frame(spark, "query_id", ASKED), index, k)) == brute(k)
 
 
+def test_no_queries(spark, index):
+    assert V.vector_search(frame(spark, "query_id", ASKED).limit(0), index, 3).collect() == []
+
+
+def test_exact_search_leaves_lists_out(monkeypatch, spark, index):
+    chosen = []
+    scan = V._Block.scan
+    monkeypatch.setattr(V._Block, "scan", lambda self, i, c, b, k: chosen.append(c) or scan(self, i, c, b, k))
+    V.vector_search(frame(spark, "query_id", POINTS[:4]), index, 5).collect()
+    assert chosen[1].sum() < chosen[1].size
+
+
 def test_all_lists_probed_is_exact(spark, index):
     assert found(V.vector_search_ivf(frame(spark, "query_id", ASKED), index, 10, 6)) == brute(10)
 
@@ -74,4 +86,5 @@ def test_plan(spark, index):
     df = V.vector_search(frame(spark, "query_id", ASKED), index, 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert "dynamicpruning" in plan and "WindowGroupLimit" in plan
+    assert "PartitionFilters: [list_id" in plan and "WindowGroupLimit" in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # each task's k best, by query

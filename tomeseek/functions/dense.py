@@ -1,8 +1,9 @@
-"""Scoring a batch of passages against a block of queries at once, with Arrow and numpy.
+"""What a task does with a batch of rows and a block of queries at once, in Arrow and numpy.
 
-A join gives one row for each query, passage and shared word: with hundreds of
-queries that is thousands of rows for each passage. Here a task adds the same
-numbers into a small table of passages by queries, and keeps k of each query.
+A join gives one row for each query and passage with a word in common, or for
+each query and vector: with hundreds of queries that is hundreds of rows for
+each row read. Here the same numbers go into a small table of rows by queries,
+and a task passes on k rows for each query.
 """
 
 from __future__ import annotations
@@ -44,29 +45,51 @@ def query_block(table: pa.Table) -> QueryBlock:
     )
 
 
+class TopK:
+    """The k best of each query so far: by score, then by the ids in their order."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.floor = np.full(n_queries, -np.inf)  # score of each query's k-th best
+        self.rows: list[tuple[np.ndarray, ...]] = []  # query number, score, ids
+
+    def offer(self, scores: np.ndarray, numbers: np.ndarray, *ids: np.ndarray) -> None:
+        """Scores of rows by queries, -inf for none; the queries' numbers; the rows' ids."""
+        limit = self.floor[numbers]
+        if len(scores) > self.k:
+            place = len(scores) - self.k
+            limit = np.maximum(limit, np.partition(scores, place, axis=0)[place])
+        row, column = np.nonzero((scores >= limit) & (scores > -np.inf))
+        self.rows.append((numbers[column], scores[row, column], *[one[row] for one in ids]))
+
+    def trim(self) -> None:
+        if not self.rows:
+            return
+        rows = [np.concatenate(column) for column in zip(*self.rows)]
+        order = np.lexsort((*rows[:1:-1], -rows[1], rows[0]))
+        query = rows[0][order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = order[place == self.k - 1]
+        self.floor[rows[0][last]] = rows[1][last]
+        kept = order[place < self.k]
+        self.rows = [tuple(column[kept] for column in rows)]
+
+
 def best_passages(
     batches: Iterator[pa.RecordBatch], block: tuple, avg_length: float, k: int, k1: float, b: float, digits: int
 ) -> Iterator[pa.RecordBatch]:
     """The task's k best passages for each query: query_id, doc_id, chunk, score."""
     block = QueryBlock(*block)
     common = _common_terms(block)
-    best = None
-    floor = np.zeros(len(block.query_ids))  # score of each query's k-th best so far
+    top, numbers = TopK(len(block.query_ids), k), np.arange(len(block.query_ids))
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             part = batch.slice(at, ROWS_AT_ONCE)
             scores = _scores(part, block, common, avg_length, k1, b)
-            found = scores > 0
-            scores = np.round(scores, digits)
-            limit = floor
-            if part.num_rows > k:
-                limit = np.maximum(floor, np.partition(scores, part.num_rows - k, axis=0)[part.num_rows - k])
-            row, query = np.nonzero(found & (scores >= limit))
-            new = (query, scores[row, query], part["doc_id"].to_numpy()[row], part["chunk"].to_numpy()[row])
-            best = new if best is None else tuple(np.concatenate(pair) for pair in zip(best, new))
-            best, floor = _top(best, k, floor)
-    if best is not None and len(best[0]):
-        query, score, doc, chunk = best
+            scores = np.where(scores > 0, np.round(scores, digits), -np.inf)
+            top.offer(scores, numbers, part["doc_id"].to_numpy(), part["chunk"].to_numpy())
+            top.trim()
+    for query, score, doc, chunk in top.rows:
         yield pa.RecordBatch.from_arrays(
             [pa.array(block.query_ids[query]), pa.array(doc), pa.array(chunk, pa.int32()), pa.array(score)],
             ["query_id", "doc_id", "chunk", "score"],
@@ -123,14 +146,54 @@ def _scores(
     return scores
 
 
-def _top(rows: tuple, k: int, floor: np.ndarray) -> tuple[tuple, np.ndarray]:
-    """The k best of each query by score, then doc_id and chunk; and the score of each query's k-th."""
-    query, score, doc, chunk = rows
-    order = np.lexsort((chunk, doc, -score, query))
-    query = query[order]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    kept = order[place < k]
-    last = order[place == k - 1]
-    floor = floor.copy()
-    floor[rows[0][last]] = score[last]
-    return tuple(column[kept] for column in rows), floor
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors as the rows of a table; all need the same number of values."""
+    return vectors.flatten().to_numpy().astype(np.float64).reshape(len(vectors), -1)
+
+
+def unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one (zero rows stay zero), and the lengths they had."""
+    lengths = np.linalg.norm(rows, axis=1)
+    return rows / np.where(lengths > 0, lengths, 1.0)[:, None], lengths
+
+
+def nearest_centers(batches: Iterator[pa.RecordBatch], centers: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """vec_id, embedding, list_dist, list_id: each vector with its nearest centre."""
+    squares = (centers * centers).sum(axis=1)
+    for batch in batches:
+        units, _ = unit(matrix(batch["embedding"]))
+        chosen = np.argmin(squares - 2.0 * (units @ centers.T), axis=1)
+        distance = np.linalg.norm(units - centers[chosen], axis=1)
+        yield pa.RecordBatch.from_arrays(
+            [batch["vec_id"], batch["embedding"], pa.array(distance), pa.array(chosen, pa.int32())],
+            ["vec_id", "embedding", "list_dist", "list_id"],
+        )
+
+
+def nearest_vectors(
+    batches: Iterator[pa.RecordBatch], query_ids: np.ndarray, queries: np.ndarray,
+    probes: dict[int, tuple[np.ndarray, ...]], k: int, digits: int,
+) -> Iterator[pa.RecordBatch]:
+    """The task's k nearest vectors for each query: query_id, vec_id, score.
+
+    ``probes`` gives for each list the numbers of the queries that look into
+    it, their distances to its centre, and how far from each a vector may be.
+    """
+    top = TopK(len(query_ids), k)
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(at, ROWS_AT_ONCE)
+            units, _ = unit(matrix(part["embedding"]))
+            ids, lists = part["vec_id"].to_numpy(), part["list_id"].to_numpy()
+            for one in np.unique(lists):
+                if one in probes:
+                    numbers, distance, bound = probes[one]
+                    rows = np.flatnonzero(lists == one)
+                    gap = np.abs(part["list_dist"].to_numpy()[rows, None] - distance[None, :])
+                    scores = np.round(units[rows] @ queries[numbers].T, digits) + 0.0
+                    top.offer(np.where(gap <= bound[None, :], scores, -np.inf), numbers, ids[rows])
+            top.trim()
+    for query, score, vector in top.rows:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query_ids[query]), pa.array(vector), pa.array(score)], ["query_id", "vec_id", "score"]
+        )

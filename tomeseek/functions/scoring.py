@@ -17,10 +17,6 @@ def bm25_term(tf: Column, length: Column, avg_length: Column, k1: float = K1, b:
     return tf * (k1 + 1.0) / (tf + k1 * ((1.0 - b) + b * length / avg_length))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + x * x))
 

@@ -57,19 +57,22 @@ def postings(cut: DataFrame, step: int = STEP) -> DataFrame:
             F.get(pairs, head - 1)["term"].alias("term"),
             F.transform(
                 F.slice(pairs, head, F.coalesce(F.get(starts, j + 1), F.size(pairs) + 1) - head),
-                lambda pair: pair["place"],
-            ).alias("places"),
+                lambda pair: pair["position"],
+            ).alias("positions"),
         )))
 
-    pairs = F.array_sort(F.transform("tokens", lambda term, i: F.struct(term.alias("term"), i.alias("place"))))
+    first = F.col("chunk") * step
+    pairs = F.array_sort(F.transform(
+        "tokens", lambda term, i: F.struct(term.alias("term"), (first + i).alias("position"))
+    ))
     rows = cut.select(
-        "doc_id", "chunk", F.inline(let(pairs, by_term)), F.col("n_tokens").alias("len"), "own", "lang", "source"
+        "doc_id", "chunk", F.inline(let(pairs, by_term)), F.col("n_tokens").alias("len"),
+        (first + F.col("own")).alias("end"), "lang", "source",
     )
+    tf = F.size("positions")
+    all_own = F.get("positions", tf - 1) < F.col("end")
     return rows.select(
-        "doc_id", "chunk", "term",
-        F.size("places").alias("tf"),
-        F.size(F.filter("places", lambda place: place < F.col("own"))).alias("own_tf"),
-        F.transform("places", lambda place: place + F.col("chunk") * step).alias("positions"),
-        "len", "lang", "source",
+        "doc_id", "chunk", "term", tf.alias("tf"),
+        F.when(all_own, tf).otherwise(F.size(F.filter("positions", lambda p: p < F.col("end")))).alias("own_tf"),
+        "positions", "len", "lang", "source",
     )
-

@@ -1,31 +1,45 @@
-"""Vector search: vectors are put into lists around k-means centres, and queries meet lists.
+"""Vector search: vectors lie in lists around k-means centres, and queries look into lists.
 
-Searches join on the list, never every query with every vector. The exact
-search uses the distances to the centre, stored with each vector, to leave out
-only what the triangle inequality proves to be too far away.
+The exact search uses the distances to the centre, stored with each vector, to
+leave out only what the triangle inequality proves to be too far away. Queries
+are taken in blocks of bounded size; a block is broadcast and the vectors of
+the lists it needs are read once, where they lie. Only ``k`` rows for each
+query and task are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeseek.functions.scoring import best, dot, norm
-from tomeseek.plans.joins import SALTS, is_small
+from tomeseek.functions import dense
+from tomeseek.functions.scoring import best, norm
+from tomeseek.plans.joins import SALTS
+
+# The scoring code travels with its tasks: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(dense)
 
 SCORE_DIGITS = 5
 SLACK = 1e-6  # rounding errors of distances between unit vectors
+ANYWHERE = 4.0  # more than any distance between unit vectors
 TRAIN_ROWS_PER_LIST = 1_000
+# A block of queries: bounds its broadcast, and the table of queries by lists on the driver.
+BLOCK_QUERIES = 4_096
+BLOCK_PROBES = 4_000_000
 
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """``vectors`` (vec_id, embedding, length, list_dist; partitioned by list_id) and
-    ``lists`` (list_id, center, n, radius; one row for each list)."""
+    """``vectors`` (vec_id, embedding, list_dist; partitioned by list_id) and ``lists``
+    (list_id, center, n, radius; one row for each list)."""
 
     spark: SparkSession
     path: str
@@ -37,21 +51,6 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/lists")
 
 
-def _unit(vector: Column, length: Column) -> Column:
-    return F.transform(vector, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
-
-
-def _distance(a: Column, b: Column) -> Column:
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
-
-
-def _with_unit(df: DataFrame) -> DataFrame:
-    wide = df.withColumn("wide", F.col("embedding").cast("array<double>"))
-    wide = wide.withColumn("length", norm(F.col("wide")))
-    return wide.withColumn("unit", _unit(F.col("wide"), F.col("length"))).drop("wide")
-
-
 def build_vector_index(vectors: DataFrame, path: str, n_lists: int, seed: int = 7) -> VectorIndex:
     """Vectors in ``n_lists`` lists, written to ``path``.
 
@@ -61,74 +60,40 @@ def build_vector_index(vectors: DataFrame, path: str, n_lists: int, seed: int =
     single task's work.
     """
     spark = vectors.sparkSession
-    units = _with_unit(vectors.select("vec_id", "embedding"))
-    units = units.withColumn("features", array_to_vector("unit"))
-    n_rows = vectors.count()
-    training = units.select("features")
+    vectors = vectors.select("vec_id", "embedding")
+    n_rows, training = vectors.count(), vectors
     if n_rows > n_lists * TRAIN_ROWS_PER_LIST:
-        training = training.sample(n_lists * TRAIN_ROWS_PER_LIST / n_rows, seed)
-    model = KMeans(k=n_lists, seed=seed, maxIter=10, initMode="random", predictionCol="list_id").fit(training)
-    centers = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "list_id int, center array<double>",
-    )
-    placed = model.transform(units).join(F.broadcast(centers), "list_id")
-    placed = placed.select(
-        "vec_id", "embedding", "length", _distance(F.col("unit"), F.col("center")).alias("list_dist"), "list_id"
+        training = vectors.sample(n_lists * TRAIN_ROWS_PER_LIST / n_rows, seed)
+    wide = training.select(F.col("embedding").cast("array<double>").alias("wide"))
+    wide = wide.withColumn("length", norm(F.col("wide")))
+    wide = wide.select(array_to_vector(F.when(
+        F.col("length") > 0, F.transform("wide", lambda x: x / F.col("length"))
+    ).otherwise(F.col("wide"))).alias("features"))
+    model = KMeans(k=n_lists, seed=seed, maxIter=10, initMode="random").fit(wide)
+    centers = np.array(model.clusterCenters())
+
+    shared = spark.sparkContext.broadcast(centers)
+    placed = vectors.mapInArrow(
+        lambda batches: dense.nearest_centers(batches, shared.value),
+        "vec_id bigint, embedding array<float>, list_dist double, list_id int",
     )
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))
     placed.repartition("list_id", spread).write.partitionBy("list_id").parquet(f"{path}/vectors")
     index = VectorIndex(spark, path)
+    centers = spark.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(centers)], "list_id int, center array<double>"
+    )
     sizes = index.vectors().groupBy("list_id").agg(F.count("*").alias("n"), F.max("list_dist").alias("radius"))
     centers.join(F.broadcast(sizes), "list_id").coalesce(1).write.parquet(f"{path}/lists")
     return index
 
 
-def _probes(queries: DataFrame, index: VectorIndex) -> DataFrame:
-    """A row for each query and list, with their distance; ``n_lists`` is a setting, not data."""
-    lists = index.lists().agg(F.collect_list(F.struct("list_id", "center", "radius")).alias("lists")).scalar()
-    asked = _with_unit(queries.select("query_id", "embedding")).withColumn("lists", lists)
-    distances = F.transform("lists", lambda one: F.struct(
-        one["list_id"].alias("list_id"), one["radius"].alias("radius"),
-        _distance(F.col("unit"), one["center"]).alias("query_dist"),
-    ))
-    return asked.select(
-        "query_id", F.col("embedding").alias("asked"), F.col("length").alias("asked_length"), F.inline(distances)
-    )
-
-
-def _nearest_lists(probes: DataFrame, n_probe: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("query_dist", "list_id")
-    return probes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n_probe).drop("place")
-
-
-def _scored(probes: DataFrame, index: VectorIndex, small: bool, bounded: bool = False) -> DataFrame:
-    """query_id, vec_id, score for the vectors of the probed lists.
-
-    With few probes they are broadcast and each vector is read once where it
-    lies. With many, both sides are shuffled by list, in ``SALTS`` parts.
-    """
-    near = F.lit(True)
-    if bounded:
-        near = F.abs(F.col("list_dist") - F.col("query_dist")) <= F.col("bound")
-    vectors = index.vectors()
-    if small:
-        joined = vectors.join(F.broadcast(probes), "list_id")
-    else:
-        salted = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
-        copies = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = salted.join(copies, ["list_id", "salt"])
-    joined = joined.where(near)
-    product = dot(F.col("asked").cast("array<double>"), F.col("embedding").cast("array<double>"))
-    lengths = F.col("asked_length") * F.col("length")
-    cosine = F.when(lengths > 0, product / lengths).otherwise(F.lit(0.0))
-    return joined.select("query_id", "vec_id", F.round(cosine, SCORE_DIGITS).alias("score"))
-
-
 def vector_search_ivf(queries: DataFrame, index: VectorIndex, k: int, n_probe: int) -> DataFrame:
     """Cosine top-k among the ``n_probe`` lists nearest to each query: approximate."""
-    probes = _nearest_lists(_probes(queries, index), n_probe)
-    return best(_scored(probes, index, _few_probes(queries, index)), k, ties=("vec_id",))
+    def search(block: "_Block") -> DataFrame:
+        return block.scan(index, block.nearest(n_probe), np.full(len(block.ids), ANYWHERE), k)
+
+    return best(_in_blocks(queries, index, search), k, ties=("vec_id",))
 
 
 def vector_search(queries: DataFrame, index: VectorIndex, k: int, first_lists: int = 2) -> DataFrame:
@@ -138,22 +103,60 @@ def vector_search(queries: DataFrame, index: VectorIndex, k: int, first_lists: i
     distance of anything better, and a vector x in the list with centre c is
     compared only if ``|d(q, c) - d(x, c)|`` is within the bound.
     """
-    small = _few_probes(queries, index)
-    probes = _probes(queries, index)
-    first = best(_scored(_nearest_lists(probes, first_lists), index, small), k, ties=("vec_id",))
-    # The k-th score was rounded; an equal rounded score may be up to one unit lower.
-    least = F.col("score") - 10.0 ** -SCORE_DIGITS
-    bounds = first.where(F.col("rank") == k).select(
-        "query_id", (F.sqrt(F.greatest(2.0 - 2.0 * least, F.lit(0.0))) + SLACK).alias("bound")
-    )
-    everything = F.lit(4.0)  # more than any distance between unit vectors: nothing is left out
-    bounded = probes.join(F.broadcast(bounds) if small else bounds, "query_id", "left")
-    bounded = bounded.withColumn("bound", F.coalesce("bound", everything))
-    bounded = bounded.where(F.col("query_dist") - F.col("radius") <= F.col("bound")).drop("radius")
-    return best(_scored(bounded, index, small, bounded=True), k, ties=("vec_id",))
-
-
-def _few_probes(queries: DataFrame, index: VectorIndex) -> bool:
-    """Whether all (query, list) rows together may be broadcast."""
-    n_lists = max(index.lists().count(), 1)
-    return is_small(queries.select("query_id", "embedding"), 500_000 // n_lists, (64 << 20) // n_lists)
+    def search(block: "_Block") -> DataFrame:
+        first = block.scan(index, block.nearest(first_lists), np.full(len(block.ids), ANYWHERE), k)
+        last = best(first, k, ties=("vec_id",)).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        bound = np.full(len(block.ids), ANYWHERE)
+        # The k-th score was rounded; an equal rounded score may be up to one unit lower.
+        least = last["score"].to_numpy() - 10.0 ** -SCORE_DIGITS
+        bound[np.searchsorted(block.ids, last["query_id"].to_numpy())] = np.sqrt(np.maximum(2 - 2 * least, 0)) + SLACK
+        return block.scan(index, block.distance - block.radius[None, :] <= bound[:, None], bound, k)
+
+    return best(_in_blocks(queries, index, search), k, ties=("vec_id",))
+
+
+class _Block:
+    """A bounded number of queries, and their distances to the centres of all lists."""
+
+    def __init__(self, queries, lists):
+        queries = queries.sort_by("query_id").combine_chunks()
+        lists = lists.sort_by("list_id").combine_chunks()
+        self.ids = queries["query_id"].to_numpy()
+        self.units, _ = dense.unit(dense.matrix(queries["embedding"].combine_chunks()))
+        self.lists, self.radius = lists["list_id"].to_numpy(), lists["radius"].to_numpy()
+        centers = dense.matrix(lists["center"].combine_chunks())
+        self.distance = np.stack([np.linalg.norm(self.units - c, axis=1) for c in centers], axis=1)
+
+    def nearest(self, n: int) -> np.ndarray:
+        """Which lists (columns) are the ``n`` nearest of each query (row)."""
+        order = np.argsort(self.distance, axis=1, kind="stable")
+        chosen = np.zeros(self.distance.shape, dtype=bool)
+        np.put_along_axis(chosen, order[:, :n], True, axis=1)
+        return chosen
+
+    def scan(self, index: VectorIndex, chosen: np.ndarray, bound: np.ndarray, k: int) -> DataFrame:
+        """query_id, vec_id, score: each task's k best, reading only the chosen lists."""
+        probes = {}
+        for place in np.flatnonzero(chosen.any(axis=0)):
+            numbers = np.flatnonzero(chosen[:, place])
+            probes[int(self.lists[place])] = (numbers, self.distance[numbers, place], bound[numbers])
+        shared = index.spark.sparkContext.broadcast((self.ids, self.units, probes))
+        vectors = index.vectors().where(F.col("list_id").isin(list(probes)))
+        return vectors.select("vec_id", "embedding", "list_dist", "list_id").mapInArrow(
+            lambda batches: dense.nearest_vectors(batches, *shared.value, k, SCORE_DIGITS),
+            "query_id bigint, vec_id bigint, score double",
+        )
+
+
+def _in_blocks(queries: DataFrame, index: VectorIndex, search: Callable[[_Block], DataFrame]) -> DataFrame:
+    lists = index.lists().select("list_id", "center", "radius").toArrow()
+    queries = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n_blocks = -(-queries.count() // max(1, min(BLOCK_QUERIES, BLOCK_PROBES // max(1, len(lists)))))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(max(n_blocks, 1)))
+    found = []
+    for i in range(n_blocks):
+        block = queries.where(number == i).toArrow()
+        if block.num_rows:
+            found.append(search(_Block(block, lists)))
+    nothing = queries.limit(0).selectExpr("query_id", "query_id AS vec_id", "CAST(0 AS double) AS score")
+    return reduce(DataFrame.unionByName, found, nothing)
