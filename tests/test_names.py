@@ -39,9 +39,10 @@ def glossary(spark):
     return spark.createDataFrame([(e, a, "k") for e, a in ALIASES.items()], "entity_id bigint, alias string, kind string")
 
 
-@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize(
+    "small", [lambda df: True, lambda df: False, lambda df: df.columns == ["w0"]], ids=["all", "none", "first words"])
 def test_link_entities(monkeypatch, make_docs, glossary, small):
-    monkeypatch.setattr(names, "is_small", lambda df: small)
+    monkeypatch.setattr(names, "is_small", small)
     got = names.link_entities(passages(make_docs(TEXTS)), glossary)
     assert sorted(tuple(r) for r in got.collect()) == brute()
     assert (7, 0, 0, 4, 3) in brute()

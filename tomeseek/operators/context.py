@@ -42,7 +42,8 @@ def assemble_context(
     A passage with the same words as a better one is skipped, and words shared
     with a better neighbour are given and counted once. A query with no hit, or
     none that fits, keeps its row with an empty context. Windows are over the
-    hits of one query, which a search has already cut to its k.
+    hits of one query, which a search has already cut to its k. ``hits`` should
+    be a written table: its size is looked at before it is joined.
     """
     few = is_small(hits)
     texts = passages.select("doc_id", "chunk", "tokens")
