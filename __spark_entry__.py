@@ -227,14 +227,29 @@ QUERIES = {
 }
 
 
+def _corpus() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the corpus subpackage; none where it is not installed."""
+    try:
+        import corpus_pipeline
+        import tomeseek.llm.queries as llm
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("corpus_pipeline", "tomeseek.llm", "tomeseek.llm.queries"):
+            raise
+        return {}, {}
+    sql = dict(llm.ORACLES)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return llm.QUERIES | {"pipeline": corpus_pipeline.run}, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The ten best passages for each question."""
-    return bm25_search(spark, "/root/testdata/sf0.001")
+    return bm25_search(spark, os.environ.get("ENTRY_SF_DIR", "/root/testdata/sf0.001"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | _corpus()[1]

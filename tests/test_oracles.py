@@ -14,7 +14,7 @@ def con():
     return oracle(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+@pytest.mark.parametrize("name", list(entry.ORACLES))
 def test_query_equals_sql(spark, con, name):
     got = entry.queries()[name](spark, FOLDER).toPandas()
     want = con.sql(entry.oracle_sql()[name]).df()
@@ -26,7 +26,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"vector_search_ivf"}
+    assert set(entry.QUERIES) - set(entry.ORACLES) == {"vector_search_ivf"}
 
 
 def test_entry(spark):
