@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +35,12 @@ def held_out(doc_id: Column | str) -> Column:
 def text_hash(text: Column | str) -> Column:
     """64 bits of a text, with NULL and the empty text told apart."""
     return F.xxhash64(F.col(text) if isinstance(text, str) else text, F.isnull(text))
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """One object for each Python worker and key, kept from task to task (only the newest key's)."""
+    store = pyspark.__dict__.setdefault("_tomeseek_kept", {})
+    if key not in store:
+        store.clear()
+        store[key] = make()
+    return store[key]

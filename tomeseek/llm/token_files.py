@@ -15,12 +15,11 @@ run again, or twice, leaves one whole file.
 
 from __future__ import annotations
 
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tomeseek.llm.common import text_hash
-from tomeseek.llm.tokens import REMEMBERED, Cutter, load_vocabulary
+from tomeseek.llm.common import kept, text_hash
+from tomeseek.llm.tokens import Cutter, byte_letters, load_vocabulary
+
+#: Pre-tokens in one of the two generations that a worker remembers.
+GENERATION = 150_000
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, n_docs bigint, n_tokens bigint, n_sequences bigint"
@@ -46,43 +48,48 @@ class TokenFiles:
     starts: dict[int, int]
 
 
-_composed = partial(unicodedata.is_normalized, "NFC")
-
-
 class Encoder:
-    """Ids of texts, as bytes. The library encodes each distinct pre-token once; a text's ids are those of its parts in order.
+    """Ids of texts, as bytes.
 
-    A rare text whose small letters compose anew (a capital J with a caron) is given to the library whole.
+    The library's model makes the ids of each pre-token; a text's ids are those of
+    its pre-tokens and special strings in order. Pre-tokens are remembered in two
+    generations, so that those met again stay and those met once go.
     """
 
-    def __init__(self, spec: str, pattern: str, specials: tuple[str, ...], kind: str) -> None:
-        self.library, self.kind, self.known = Tokenizer.from_str(spec), kind, {}
-        self.cut = Cutter(pattern, specials)
-
-    def parts(self, text: str) -> list[str]:
+    def __init__(self, spec: str, pattern: str, specials: dict[str, int], kind: str) -> None:
+        self.library = Tokenizer.from_str(spec)  # the model lives no longer than this
+        self.model, self.code = self.library.model, np.dtype(kind).char
+        self.letters = dict(enumerate(byte_letters()))
+        self.cut = Cutter(pattern, tuple(specials))
+        self.specials = {name: np.array([i], kind).tobytes() for name, i in specials.items()}
+        self.young, self.old = _Made(self._make), {}
+
+    def _make(self, word: str) -> bytes:
+        if (made := self.old.get(word)) is not None:
+            return made
+        letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        return b"".join(map(self.young.__getitem__, self.cut.plain(text)))
+
+    def __call__(self, text: str | None) -> bytes:
+        if len(self.young) > GENERATION:
+            self.young, self.old = _Made(self._make), self.young
         special = self.cut.special
-        if special is None or not special.search(text):
-            return self.cut.plain(text)
+        if not text or special is None or not special.search(text):
+            return self.plain(text or "")
         between, found = special.split(text), special.findall(text)
-        out = self.cut.plain(between[0])
-        for name, part in zip(found, between[1:]):
-            out += [name, *self.cut.plain(part)]
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [self.parts(t or "") for t in texts]
-        whole = {i for i, words in enumerate(cut) if not all(map(_composed, words))}
-        new = list(dict.fromkeys(w for i, words in enumerate(cut) if i not in whole for w in words if w not in self.known))
-        self.known.update(zip(new, self.library_ids(new)))
-        return [
-            self.library_ids([texts[i]])[0] if i in whole else b"".join(map(self.known.__getitem__, words))
-            for i, words in enumerate(cut)
-        ]
-
-    def library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return b"".join([self.plain(between[0]), *(self.specials[name] + self.plain(part) for name, part in zip(found, between[1:]))])
+
+
+class _Made(dict):
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = made = self.make(key)
+        return made
 
 
 class ShardWriter:
@@ -147,24 +154,25 @@ def write_token_files(
     v = load_vocabulary(vocabulary)
     with open(vocabulary, encoding="utf-8") as file:
         spec = file.read()
-    kind = "<u2" if max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(v.size, end_id + 1, *(i + 1 for i in v.specials.values())) <= 1 << 16 else "<u4"
     pattern, specials = v.pattern, v.specials
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         shard = TaskContext.get().partitionId()
-        out, index, encode = None, [[], [], []], Encoder(spec, pattern, specials, kind)
+        out, index = None, [[], [], []]
+        encode = kept(("encoder", spec), lambda: Encoder(spec, pattern, specials, kind))
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if out is None:
                         store.create_dir(path, recursive=True)
                         out = ShardWriter(store, f"{_shard(path, shard)}.arrow", length, rows_per_batch, kind)
                     index[1].append(out.n_tokens)
                     index[0].append(doc_id)
-                    index[2].append(out.add(ids + end))
+                    index[2].append(out.add(encode(text) + end))
         if out is not None:
             own = f"{_shard(path, shard)}.docs.{uuid.uuid4().hex}.part"
             with store.open_output_stream(own) as sink, pa.ipc.new_file(sink, DOCS) as table:
