@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tomeseek.llm import token_files, tokens
-from tomeseek.llm.common import table
+from tomeseek.llm import decontamination, lang_id, near_dups, quality, token_files, tokens
+from tomeseek.llm.common import held_out, table
 from tomeseek.session import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
+
+
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    rows, classes = near_dups.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = lang_id.predict_language(docs.select("doc_id", "text"), lang_id.fit_language(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.*")
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -24,6 +46,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_quality": op2_quality,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op6_language": op6_language,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
 }
