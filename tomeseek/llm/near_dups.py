@@ -98,7 +98,8 @@ def _cells(cell: Column) -> Column:
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """a, b: links that join all of ``fps`` (fp, distinct) within RADIUS bits, each to the smallest around a shared variant."""
-    placed = fps.select("fp", F.explode(_cells(pivot_cell(F.col("fp")))).alias("cell"))
+    table = written(fps.select("fp", pivot_cell(F.col("fp")).alias("own")), "pivots")
+    placed = table.select("fp", F.explode(_cells(F.col("own"))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
     left = placed.join(shared, "cell", "left_semi").select("fp").distinct()
     variants = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)))

@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeseek.llm import decontamination, lang_id, near_dups, quality, token_files, tokens
+from tomeseek.llm import decontamination, lang_id, lines, mixing, near_dups, quality, token_files, tokens, top_k
 from tomeseek.llm.common import held_out, table
 from tomeseek.session import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
+#: Sources that are not named weigh alike.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+SHARE = 0.6
+EPOCHS = 2
+SEED = 11
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,17 +28,32 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.KEEP).cast("int").alias("predicted"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     rows, classes = near_dups.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, folder, "embeddings"))
+
+
 def op6_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = lang_id.predict_language(docs.select("doc_id", "text"), lang_id.fit_language(docs))
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.*")
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = mixing.mixture(
+        table(spark, folder, "documents"), domain=mixing.domain_of("source"), share=SHARE, weights=WEIGHTS, epochs=EPOCHS, seed=SEED)
+    return rows
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -48,10 +68,64 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_top_k": op5_top_k,
     "op6_language": op6_language,
+    "op7_mixing": op7_mixing,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+
+def _filled(name: str, nodes: str, level: str, parents: str) -> str:
+    """SQL of one level's shares; ``nodes`` has weight, capacity and budget."""
+    family = f"PARTITION BY {parents}" if parents else ""
+    return f"""
+{name}_a AS (SELECT *, CASE WHEN capacity > 0 THEN capacity / weight ELSE 0 END AS fills_at FROM ({nodes})),
+{name}_b AS (SELECT *,
+    coalesce(sum(capacity) OVER ({family} ORDER BY fills_at, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER ({family} ORDER BY fills_at, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM {name}_a),
+{name}_c AS (SELECT *, capacity = 0 OR before + fills_at * rest <= budget AS is_full FROM {name}_b),
+{name} AS (SELECT *, CASE WHEN is_full THEN capacity ELSE
+    (budget - sum(CASE WHEN is_full THEN capacity ELSE 0 END) OVER ({family}))
+    / sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({family}) * weight END AS part FROM {name}_c)"""
+
+
+def _weight_sql(level: str) -> str:
+    return f"(CASE {level} " + " ".join(f"WHEN '{k}' THEN {float(w)}" for k, w in WEIGHTS[level].items()) + " ELSE 1.0 END)::DOUBLE"
+
+
+ORACLES: dict[str, str] = {
+    "op5_top_k": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
+    "op7_mixing": f"""
+WITH t AS (
+    SELECT doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) % 4), 'none') AS domain,
+        coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS name,
+        len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+'))::BIGINT AS n_tokens
+    FROM documents),
+d AS (SELECT * FROM t WHERE n_tokens > 0),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+n3 AS (SELECT *, 1::DOUBLE AS weight, tokens::DOUBLE * {EPOCHS} AS capacity FROM leaf),
+n2 AS (SELECT domain, lang, {_weight_sql("lang")} AS weight, sum(capacity) AS capacity FROM n3 GROUP BY ALL),
+n1 AS (SELECT domain, {_weight_sql("domain")} AS weight, sum(capacity) AS capacity FROM n2 GROUP BY ALL),
+b AS (SELECT least((SELECT sum(tokens)::DOUBLE FROM leaf) * {SHARE}, (SELECT sum(capacity) FROM n1)) AS budget),
+{_filled("p1", "SELECT n1.*, budget FROM n1, b", "domain", "")},
+{_filled("p2", "SELECT n2.*, p1.part AS budget FROM n2 JOIN p1 USING (domain)", "lang", "domain")},
+{_filled("p3", "SELECT n3.*, p2.part AS budget FROM n3 JOIN p2 USING (domain, lang)", "source", "domain, lang")},
+plan AS (SELECT domain, lang, source, tokens, floor(part + 1e-6)::BIGINT AS whole, floor(part + 1e-6)::BIGINT // tokens AS full_epochs FROM p3),
+placed AS (
+    SELECT d.*, full_epochs, whole - full_epochs * tokens AS rest, substr(md5('{SEED}:' || full_epochs || ':' || name), 1, 16) AS place
+    FROM d JOIN plan USING (domain, lang, source)),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_to FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens, (full_epochs + (up_to <= rest)::BIGINT)::INTEGER AS copies
+FROM run WHERE full_epochs + (up_to <= rest)::BIGINT > 0""",
+}
