@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeseek.llm import decontamination, lang_id, lines, mixing, near_dups, quality, token_files, tokens, top_k
+from tomeseek.llm import decontamination, lang_id, lines, mixing, near_dups, pii, quality, token_files, tokens, top_k
 from tomeseek.llm.common import held_out, table
 from tomeseek.session import new_folder
 
@@ -54,6 +54,12 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def op8_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_private(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = (pii.count_of("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(pii.written_out("base"), 256).alias("base_sha256"), pii.written_out("spans").alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = tokens.token_counts(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -73,6 +79,7 @@ QUERIES = {
     "op5_top_k": op5_top_k,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
+    "op8_private_data": op8_private_data,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
 }
