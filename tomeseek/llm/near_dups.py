@@ -6,7 +6,8 @@ largest difference of their distances to one pivot. The pivots are one fixed
 fingerprint and its variants with whole blocks of bits flipped. Distances to 17 of
 them fix those to all 65,536, and the largest difference over all of these is the
 sum over blocks of the difference in block distance. So a pair is discarded unless
-the two rows of block distances are at most RADIUS apart in that sum.
+the two rows of block distances are at most RADIUS apart in that sum. A second
+table, with blocks of bits that lie apart, is made of what the first one leaves.
 
 Neither pairs of rows nor pairs of fingerprints are listed. Each row stands in its
 own cell and in those one step away; two rows are within two steps just when they
@@ -37,6 +38,11 @@ WORDS = 3
 SEED = 42
 BLOCKS, BITS = 16, 4
 PIVOT = 0x5BD1E995_9E3779B9
+#: The bits of each block, for either table of pivots: neighbours, and every sixteenth.
+TABLES = (
+    tuple(((1 << BITS) - 1) << (BITS * b) for b in range(BLOCKS)),
+    tuple(sum(1 << (b + BLOCKS * i) for i in range(BITS)) for b in range(BLOCKS)),
+)
 #: Shingles whose bits are counted at a time.
 STRETCH = 1 << 15
 
@@ -74,13 +80,12 @@ def _differ(a: Column, pivot: int) -> Column:
     return F.bit_count(a.bitwiseXOR(F.lit(_signed(pivot))))
 
 
-def pivot_cell(fp: Column) -> Column:
+def pivot_cell(fp: Column, blocks: tuple[int, ...]) -> Column:
     """The row of block distances (0 to 4 each), four bits a block."""
-    whole = (1 << BITS) - 1
     to_first = _differ(fp, PIVOT)
     cell = F.lit(0).cast("bigint")
-    for b in range(BLOCKS):
-        to_variant = _differ(fp, PIVOT ^ (whole << (BITS * b)))
+    for b, block in enumerate(blocks):
+        to_variant = _differ(fp, PIVOT ^ block)
         inside = ((to_first - to_variant + F.lit(BITS)) / 2).cast("bigint")
         cell = cell.bitwiseOR(F.shiftleft(inside, 4 * b))
     return cell
@@ -96,12 +101,19 @@ def _cells(cell: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """a, b: links that join all of ``fps`` (fp, distinct) within RADIUS bits, each to the smallest around a shared variant."""
-    table = written(fps.select("fp", pivot_cell(F.col("fp")).alias("own")), "pivots")
+def not_alone(fps: DataFrame, blocks: tuple[int, ...]) -> DataFrame:
+    """The fingerprints whose row of distances is at most RADIUS from another one's."""
+    table = written(fps.select("fp", pivot_cell(F.col("fp"), blocks).alias("own")), "pivots")
     placed = table.select("fp", F.explode(_cells(F.col("own"))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("cell")
-    left = placed.join(shared, "cell", "left_semi").select("fp").distinct()
+    return placed.join(shared, "cell", "left_semi").select("fp").distinct()
+
+
+def fingerprint_links(fps: DataFrame) -> DataFrame:
+    """a, b: links that join all of ``fps`` (fp, distinct) within RADIUS bits, each to the smallest around a shared variant."""
+    left = fps
+    for blocks in TABLES:
+        left = not_alone(left, blocks)
     variants = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)))
     around = Window.partitionBy("variant")
     met = left.select("fp", F.explode(variants).alias("variant")).select(F.col("fp").alias("b"), F.min("fp").over(around).alias("a"))
