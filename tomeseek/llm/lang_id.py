@@ -42,14 +42,15 @@ class LanguageModel:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """``n`` codewords: all splits of the languages in two for up to five, else 15 log2(n) random ones that differ."""
-    if n <= 5:
+    """``n`` codewords: all splits of the languages in two for up to seven, else 15 log2(n) random splits that differ."""
+    if n <= 7:
         return np.array([[1 if not i or (split >> (i - 1)) & 1 else -1 for split in range(2 ** (n - 1) - 1)] for i in range(n)], np.int8).reshape(n, -1)
     draw, columns = np.random.default_rng(seed), {}
     bits = int(np.ceil(15 * np.log2(n)))
     while len(columns) < bits:
-        column = draw.permutation(np.where(np.arange(n) < n // 2, 1, -1))
-        columns.setdefault(tuple(column * column[0]))
+        column = draw.choice([1, -1], n)
+        if abs(column.sum()) < n:
+            columns.setdefault(tuple(column * column[0]))
     return np.array(list(columns), np.int8).T
 
 
