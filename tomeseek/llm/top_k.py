@@ -54,7 +54,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def pivot_table(vectors: DataFrame, width: int) -> DataFrame:
     """vec_id, v, distances of the vectors of ``width`` components; the pivots are PIVOTS of them, by hash of the id."""
     same = vectors.where(F.size("v") == width)
-    chosen = np.array([r["v"] for r in same.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()], np.float64).reshape(-1, width)
+    rows = same.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(PIVOTS).collect()
+    chosen = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), width)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
