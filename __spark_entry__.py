@@ -52,8 +52,8 @@ def _mentions(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "mentions", lambda: written(link_entities(spark, folder), "mentions"))
 
 
-def _keyterms(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder, "keyterms", lambda: written(keyterms(spark, folder), "keyterms"))
+def _term_weights(spark: SparkSession, folder: str) -> DataFrame:
+    return _once(spark, folder, "weights", lambda: written(search.term_weights(_index(spark, folder)), "weights"))
 
 
 def _vectors(spark: SparkSession, folder: str) -> vectors.VectorIndex:
@@ -72,10 +72,17 @@ def _label_means(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _editions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Two editions of the whole collection: the new one drops one language, has another and revises a third."""
+    """Two editions of the whole collection.
+
+    The new one drops one language, has another and revises the texts of a
+    third; one source has a new name, and the English of another a new code.
+    """
     docs = tables.documents(spark, folder)
     revised = F.when(F.col("lang") == "fr", F.concat("text", F.lit(" errata"))).otherwise(F.col("text"))
-    return docs.where("lang <> 'de'"), docs.where("lang <> 'es'").withColumn("text", revised)
+    source = F.when(F.col("source") == "src3", "src3b").otherwise(F.col("source"))
+    lang = F.when((F.col("lang") == "en") & (F.col("source") == "src5"), "en-GB").otherwise(F.col("lang"))
+    new = docs.where("lang <> 'es'").withColumns({"text": revised, "source": source, "lang": lang})
+    return docs.where("lang <> 'de'"), new
 
 
 # Preparation and index
@@ -135,9 +142,10 @@ def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
 
 def bm25_search_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Each question asked once for each language, of that language's documents only."""
-    asked = tables.questions(spark, folder).select("query_id", "text", F.posexplode(
-        F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])).alias("i", "lang"))
-    asked = asked.select((F.col("query_id") * 10 + F.col("i")).alias("query_id"), "text", "lang")
+    langs = tables.documents(spark, folder).agg(F.array_sort(F.collect_set("lang")).alias("langs")).scalar()
+    asked = tables.questions(spark, folder).withColumn("langs", langs)
+    asked = asked.select("query_id", "text", F.size("langs").alias("n"), F.posexplode("langs").alias("i", "lang"))
+    asked = asked.select((F.col("query_id") * F.col("n") + F.col("i")).alias("query_id"), "text", "lang")
     return search.bm25_search(asked, _index(spark, folder), K)
 
 
@@ -161,7 +169,7 @@ def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
 def related_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents related to the best hit of each question."""
     opened = _hits(spark, folder).where(F.col("rank") == 1)
-    return search.related_documents(opened, _keyterms(spark, folder), 5)
+    return search.related_documents(opened, _term_weights(spark, folder), 5)
 
 
 # Context

@@ -46,11 +46,12 @@ INDEX = (_tokens(), CUT, OCCUR, POST, STATS, CORPUS)
 
 QUESTIONS = "asked AS (SELECT item_id AS query_id, text, NULL::VARCHAR AS want FROM benchmark)"
 QUESTIONS_BY_LANG = """asked AS (
-  SELECT item_id * 10 + i AS query_id, text, want FROM benchmark,
-    (VALUES (0, 'de'), (1, 'en'), (2, 'es'), (3, 'fr')) langs(i, want))"""
+  SELECT item_id * n + i AS query_id, text, want FROM benchmark,
+    (SELECT lang AS want, row_number() OVER (ORDER BY lang) - 1 AS i, count(*) OVER () AS n
+     FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)))"""
 
 TURN_QUERIES = """turn_queries AS (
-  SELECT conv_id * 1000000 + turn AS query_id, conv_id, turn,
+  SELECT conv_id * 2147483648 + turn AS query_id, conv_id, turn,
     array_to_string(coalesce(earlier, []) || [text], chr(10)) AS text
   FROM (SELECT *, list(text) OVER (PARTITION BY conv_id ORDER BY turn
           RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS earlier FROM conversations)
@@ -103,11 +104,10 @@ starts AS (SELECT query_id, doc_id, place, p FROM phrases JOIN spots ON t0 = p[1
 phrase_hits AS (SELECT query_id, doc_id, place::INTEGER AS start
   FROM starts JOIN tok USING (doc_id) WHERE w[place + 1 : place + len(p)] = p)"""
 
-KEYTERMS = """doc_terms AS (SELECT doc_id, term, sum(own_tf)::BIGINT AS tf FROM post GROUP BY ALL HAVING sum(own_tf) > 0),
-keyterms AS (
-  SELECT doc_id, term, tf, round(tf * ln(n_docs::DOUBLE / doc_df), 6) AS score,
-    (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term))::INTEGER AS rank
-  FROM doc_terms JOIN stats USING (term), corpus QUALIFY rank <= 20)"""
+WEIGHTS = """doc_terms AS (SELECT doc_id, term, sum(own_tf)::BIGINT AS tf FROM post GROUP BY ALL HAVING sum(own_tf) > 0),
+weights AS (
+  SELECT doc_id, term, tf, round(tf * ln(n_docs::DOUBLE / doc_df), 6) AS score
+  FROM doc_terms JOIN stats USING (term), corpus)"""
 
 VECTORS = """means AS (
   SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS v FROM (
@@ -121,7 +121,7 @@ FROM means, embeddings QUALIFY rank <= 10"""
 
 GLOSSARY = """glossary AS (
   SELECT ('0x' || substr(md5(alias), 1, 15))::BIGINT AS entity_id, alias, kind FROM (
-    SELECT term AS alias, 'word' AS kind FROM stats WHERE length(term) >= 10 AND doc_df BETWEEN 3 AND 30
+    SELECT term AS alias, 'word' AS kind FROM stats WHERE length(term) >= 10 AND doc_df >= 3
     UNION ALL
     SELECT alias, 'pair' FROM (
       SELECT doc_id, a || ' ' || b AS alias FROM (
@@ -133,7 +133,7 @@ GLOSSARY = """glossary AS (
 MENTIONS = """runs AS (
   SELECT doc_id, last_chunk, width, p, array_to_string(w[p + 1 : p + width], ' ') AS alias
   FROM (SELECT doc_id, last_chunk, w, width, unnest(range(0, n_w - width + 1)) AS p
-        FROM tok, (VALUES (1), (2), (3), (4)) widths(width) WHERE n_w >= width)),
+        FROM tok, (SELECT DISTINCT len(string_split(alias, ' ')) AS width FROM glossary) WHERE n_w >= width)),
 named AS (SELECT doc_id, last_chunk, p, width, entity_id FROM runs JOIN glossary USING (alias)),
 mentions AS (
   SELECT doc_id, least(greatest((p - 16) // 96, 0), last_chunk)::INTEGER AS chunk,
@@ -142,11 +142,10 @@ mentions AS (
     SELECT 1 FROM named o WHERE o.doc_id = m.doc_id AND o.p < m.p + m.width AND m.p < o.p + o.width
       AND (o.width > m.width OR (o.width = m.width AND o.p < m.p))))"""
 
-GRAPH = """along AS (
-  SELECT entity_id, unnest([lead(entity_id, 1) OVER s, lead(entity_id, 2) OVER s, lead(entity_id, 3) OVER s]) AS other
-  FROM mentions WINDOW s AS (PARTITION BY doc_id, chunk ORDER BY pos, entity_id)),
-pairs AS (SELECT least(entity_id, other) AS entity_a, greatest(entity_id, other) AS entity_b, count(*) AS n
-  FROM along WHERE other IS NOT NULL AND other <> entity_id GROUP BY ALL),
+GRAPH = """pairs AS (
+  SELECT a.entity_id AS entity_a, b.entity_id AS entity_b, count(*) AS n
+  FROM mentions a JOIN mentions b ON a.doc_id = b.doc_id AND abs(a.pos - b.pos) <= 32 AND a.entity_id < b.entity_id
+  GROUP BY ALL),
 shares AS (SELECT e, sum(n) AS share FROM (
     SELECT entity_a AS e, n FROM pairs UNION ALL SELECT entity_b, n FROM pairs) GROUP BY e)"""
 
@@ -170,7 +169,9 @@ EVAL_ROWS = """SELECT k, count(*) AS n_queries, round(avg(found::DOUBLE / n_true
 FROM by_query GROUP BY k"""
 
 EDITION = """edition AS (
-  SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' errata' ELSE text END AS text, lang, source
+  SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' errata' ELSE text END AS text,
+    CASE WHEN lang = 'en' AND source = 'src5' THEN 'en-GB' ELSE lang END AS lang,
+    CASE WHEN source = 'src3' THEN 'src3b' ELSE source END AS source
   FROM documents WHERE lang <> 'es')"""
 
 TERM_STATS = _with(*INDEX[:5], "SELECT term, df, doc_df FROM stats")
@@ -185,11 +186,13 @@ FROM cut"""),
     "stream_ingest": TERM_STATS,
     "passage_stats": _with(_tokens(), CUT, "SELECT doc_id, chunk, len(tokens)::INTEGER AS len FROM cut"),
     "corpus_stats": _with(_tokens(), CUT, CORPUS, "SELECT * FROM corpus"),
-    "keyterms": _with(*INDEX, KEYTERMS, "SELECT * FROM keyterms"),
+    "keyterms": _with(*INDEX, WEIGHTS, """SELECT *,
+  (row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term))::INTEGER AS rank
+FROM weights QUALIFY rank <= 20"""),
     "index_delta": _with(EDITION, """SELECT doc_id, CASE WHEN o.text IS NULL THEN 'added'
   WHEN e.text IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM (SELECT * FROM documents WHERE lang <> 'de') o FULL JOIN edition e USING (doc_id)
-WHERE o.text IS DISTINCT FROM e.text"""),
+WHERE o.text IS DISTINCT FROM e.text OR o.lang IS DISTINCT FROM e.lang OR o.source IS DISTINCT FROM e.source"""),
     "index_refresh": _with(EDITION, _tokens("edition"), CUT, OCCUR, POST, STATS, "SELECT term, df, doc_df FROM stats"),
     "bm25_search": _with(*INDEX, QUESTIONS, _bm25(), "SELECT query_id, doc_id, chunk, score, rank FROM hits"),
     "bm25_search_filtered": _with(
@@ -202,9 +205,9 @@ WHERE o.text IS DISTINCT FROM e.text"""),
   GROUP BY ALL)""", """SELECT *,
   (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk))::INTEGER AS rank
 FROM fused QUALIFY rank <= 10"""),
-    "related_documents": _with(*INDEX, KEYTERMS, QUESTIONS, _bm25(), """units AS (
+    "related_documents": _with(*INDEX, WEIGHTS, QUESTIONS, _bm25(), """units AS (
   SELECT doc_id, term, score / sqrt(sum(score * score) OVER (PARTITION BY doc_id)) AS weight
-  FROM keyterms WHERE score > 0)""", """near AS (
+  FROM weights WHERE score > 0)""", """near AS (
   SELECT a.doc_id AS from_doc, b.doc_id AS doc_id, round(sum(a.weight * b.weight), 4) AS score
   FROM units a JOIN units b ON a.term = b.term AND a.doc_id <> b.doc_id
   WHERE a.doc_id IN (SELECT doc_id FROM hits WHERE rank = 1) GROUP BY ALL)""", """SELECT *,

@@ -72,7 +72,7 @@ def test_conversations(spark, history):
         for (c, t), role in turns.items() if role == "user"
     }
     assert {(r.conv_id, r.turn): r.text for r in got} == want and len(got) == len(want)
-    assert all(r.query_id == r.conv_id * 1_000_000 + r.turn for r in got)
+    assert all(r.query_id == r.conv_id * 2**31 + r.turn for r in got)
 
 
 def test_answer_context(spark, index):
@@ -81,4 +81,12 @@ def test_answer_context(spark, index):
         "conv_id bigint, turn bigint, role string, text string",
     )
     got = {r.query_id: r for r in answer_context(turns, index, k=3, budget=10).collect()}
-    assert got[1_000_000].context == "x y z" and got[1_000_002].context == "x y z" and got[2_000_000].context == ""
+    assert got[2**31].context == "x y z" and got[2**31 + 2].context == "x y z" and got[2**32].context == ""
+
+
+def test_turns_with_high_numbers(spark):
+    turns = spark.createDataFrame(
+        [(1, 1_000_001, "user", "a"), (2, 1, "user", "b")], "conv_id bigint, turn bigint, role string, text string")
+    assert len({r.query_id for r in conversation_queries(turns).collect()}) == 2
+    with pytest.raises(Exception, match="not within"):
+        conversation_queries(turns.withColumn("turn", turns["turn"] + 2**31)).collect()

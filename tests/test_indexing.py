@@ -7,7 +7,8 @@ import pytest
 from tomeseek.operators.indexing import build_index, index_delta, refresh_index
 from tomeseek.operators.search import bm25_search
 from tomeseek.session import new_folder
-from tomeseek.sources.index import create_index, open_index, table_name
+from tomeseek.sources import index as index_tables
+from tomeseek.sources.index import create_index, open_index, table_name, write_batch
 from tomeseek.streaming.ingest import ingest_stream
 
 OLD = {1: "alpha beta", 2: "gamma " * 300, 3: "delta", 4: "", 5: "alpha alpha", 6: "same words here"}
@@ -43,10 +44,22 @@ def test_refresh_equals_a_new_build(make_docs, make_index, make_queries):
     assert refresh_index(back, make_docs(OLD)).table("passages").where("batch = 3").isEmpty()
 
 
-def test_a_batch_written_again_counts_once(make_docs, make_index):
-    index = refresh_index(make_index(OLD), make_docs(NEW), batch=1)
-    once = content(index)
-    assert content(refresh_index(index, make_docs(NEW), batch=1)) == once
+def test_changes_of_language_and_source(spark, make_docs, make_index, make_queries):
+    docs = make_docs({1: "alpha", 2: "beta", 3: ""})
+    moved = docs.selectExpr("doc_id", "text", "IF(doc_id = 1, 'fr', lang) AS lang", "IF(doc_id = 3, NULL, source) AS source", "n_chars")
+    assert {r.doc_id: r.change for r in index_delta(docs, moved).collect()} == {1: "changed", 3: "changed"}
+    index = refresh_index(make_index({1: "alpha", 2: "beta", 3: ""}), moved)
+    assert {r.doc_id: r.lang for r in index.passages().collect()} == {1: "fr", 2: "en"}
+    asked = make_queries({1: "alpha"}).selectExpr("*", "'fr' AS lang")
+    assert [r.doc_id for r in bm25_search(asked, index, 3).collect()] == [1]
+
+
+def test_a_published_batch_is_not_written_again(make_docs, make_index):
+    index = refresh_index(make_index(OLD), make_docs(NEW))
+    before = content(index)
+    with pytest.raises(ValueError, match="published"):
+        write_batch(index, make_docs(OLD), 1)
+    assert content(index) == before
 
 
 def test_keep_missing(make_docs, make_index):
@@ -54,13 +67,24 @@ def test_keep_missing(make_docs, make_index):
     assert content(index) == content(make_index(OLD | {7: "fresh"}))
 
 
-def test_an_unpublished_batch_is_not_seen(spark, make_docs, make_index):
+def test_an_unpublished_batch_is_not_seen(spark, monkeypatch, make_docs, make_index):
     index = make_index(OLD)
     before = content(index)
-    refresh_index(index, make_docs(NEW))
-    spark.sql(f"ALTER TABLE {table_name(index.path, 'corpus_stats')} DROP PARTITION (batch = 1)")
-    assert content(open_index(spark, index.path)) == before or index.last_batch == 0
-    assert content(index) == before
+    put = index_tables._put
+
+    def cut_off(index, name, rows, batch):
+        if name == "corpus_stats":
+            raise RuntimeError("lost")
+        return put(index, name, rows, batch)
+
+    with monkeypatch.context() as during:
+        during.setattr(index_tables, "_put", cut_off)
+        with pytest.raises(RuntimeError, match="lost"):
+            refresh_index(index, make_docs(NEW))
+    opened = open_index(spark, index.path)
+    assert opened.last_batch == 0 and content(opened) == before
+    # The next batch takes the place of what was left.
+    assert content(refresh_index(opened, make_docs({1: "other"}))) == content(make_index({1: "other"}))
 
 
 def test_open_in_a_new_catalog(spark, make_index):
@@ -107,6 +131,17 @@ def test_a_micro_batch_run_again(spark, make_docs, make_index):
     assert index.last_batch == 0 and content(index) == content(make_index(OLD))
 
 
+def test_a_refresh_between_two_runs_of_a_stream(spark, make_docs, make_index):
+    source, state = new_folder(spark, "in"), new_folder(spark, "state")
+    index = create_index(spark, new_folder(spark, "streamed"), 3)
+    make_docs({1: "one"}).coalesce(1).write.mode("append").parquet(source)
+    index = ingest_stream(spark, source, index, state)
+    index = refresh_index(index, make_docs({50: "by hand"}), remove_missing=False)
+    make_docs({2: "two"}).coalesce(1).write.mode("append").parquet(source)
+    index = ingest_stream(spark, source, index, state)
+    assert content(index) == content(make_index({1: "one", 2: "two", 50: "by hand"}))
+
+
 def test_two_texts_for_one_document(spark, make_docs):
     source = new_folder(spark, "in")
     make_docs({1: "one"}).union(make_docs({1: "two"})).coalesce(1).write.parquet(source)

@@ -20,14 +20,14 @@ TEXTS = {i: " ".join(random.choice(VOCABULARY) for _ in range(n)) for i, n in en
 TEXTS[7] = "Red dragon of doom hall"
 
 
-def brute(size=128, step=96, max_words=4):
+def brute(size=128, step=96):
     out, margin = [], (size - step) // 2
     aliases = {(e, tuple(a.lower().strip("!").split())) for e, a in ALIASES.items()}
     for d, t in TEXTS.items():
         w = t.lower().split()
         last = max(len(w) - 1 - (size - step), 0) // step
-        all_ = [(p, len(a), e) for e, a in aliases for p in range(len(w)) if len(a) <= max_words
-                and tuple(w[p:p + len(a)]) == a]
+        all_ = [(p, len(a), e) for e, a in aliases for p in range(len(w))
+                if tuple(w[p:p + len(a)]) == a]
         for p, n, e in all_:
             if not any(q < p + n and p < q + m and (m > n or (m == n and q < p)) for q, m, _ in all_):
                 out.append((d, min(max((p - margin) // step, 0), last), p, n, e))
@@ -48,29 +48,37 @@ def test_link_entities(monkeypatch, make_docs, glossary, small):
     assert (7, 0, 0, 4, 3) in brute()
 
 
-def test_too_little_overlap(make_docs, glossary):
-    with pytest.raises(ValueError, match="overlap"):
-        names.link_entities(passages(make_docs(TEXTS)), glossary, max_words=9)
+def test_names_of_any_length(spark, make_docs):
+    tower, saga = "the very old red stone tower", " ".join(f"{c}{d}" for c in "abcdefghij" for d in "klmnopq")
+    texts = {1: f"{tower} red", 2: "x " * 90 + tower + " x" * 200, 3: "x " * 30 + saga + " y", 4: saga[3:]}
+    rows = [(1, tower, "k"), (2, "red", "k"), (3, saga, "k"), (4, saga.replace(" ", ", "), "k"), (5, "?", "k")]
+    known = spark.createDataFrame(rows, "entity_id bigint, alias string, kind string")
+    # Passages of 10 words that share 2: the second name is longer than any of them.
+    got = names.link_entities(passages(make_docs(texts), 10, 8), known, 10, 8)
+    assert sorted((r.doc_id, r.pos, r.len, r.entity_id) for r in got.collect()) == [
+        (1, 0, 6, 1), (1, 6, 1, 2), (2, 90, 6, 1), (3, 30, 70, 3), (3, 30, 70, 4)]
 
 
-def test_entity_graph(spark, make_docs, glossary):
+def test_names_on_both_sides_of_a_border(spark):
+    rows = [(1, 0, 111, 1, 7), (1, 1, 112, 1, 8), (1, 1, 160, 1, 9), (2, 0, 111, 1, 9)]
+    mentions = spark.createDataFrame(rows, "doc_id bigint, chunk int, pos int, len int, entity_id bigint")
+    assert [(r.entity_a, r.entity_b, r.n) for r in names.entity_graph(mentions).collect()] == [(7, 8, 1)]
+
+
+@pytest.mark.parametrize("within", [1, 7, 32])
+def test_entity_graph(spark, make_docs, glossary, within):
     mentions = names.link_entities(passages(make_docs(TEXTS)), glossary)
-    along = {}
-    for d, c, p, n, e in brute():
-        along.setdefault((d, c), []).append((p, e))
     n = Counter()
-    for row in along.values():
-        row = [e for _, e in sorted(row)]
-        for i, e in enumerate(row):
-            for other in row[i + 1:i + 4]:
-                if other != e:
-                    n[min(e, other), max(e, other)] += 1
+    for d, _, p, _, e in brute():
+        for d2, _, q, _, other in brute():
+            if d == d2 and abs(p - q) <= within and e < other:
+                n[e, other] += 1
     share, total = Counter(), sum(n.values())
     for (a, b), c in n.items():
         share[a] += c
         share[b] += c
     want = {(a, b): (c, math.log(2 * c * total / (share[a] * share[b]))) for (a, b), c in n.items()}
-    got = {(r.entity_a, r.entity_b): (r.n, r.pmi) for r in names.entity_graph(mentions, 3).collect()}
+    got = {(r.entity_a, r.entity_b): (r.n, r.pmi) for r in names.entity_graph(mentions, within).collect()}
     assert got.keys() == want.keys()
     for pair, (count, pmi) in want.items():
         assert got[pair][0] == count and got[pair][1] == pytest.approx(pmi, abs=1e-6)

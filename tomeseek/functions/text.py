@@ -24,8 +24,9 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def text_hash(text: Column) -> Column:
-    return F.sha2(F.coalesce(text, F.lit("")), 256)
+def doc_hash() -> Column:
+    """Hash of all the index keeps of a document; NULL is told from the empty text."""
+    return F.sha2(F.to_json(F.struct("text", "lang", "source")), 256)
 
 
 def stable_id(text: Column) -> Column:

@@ -9,13 +9,15 @@ from tomeseek.operators.passages import SIZE, STEP
 from tomeseek.plans.joins import is_small
 
 TURNS_PER_BLOCK = 64
-MAX_TURNS = 1_000_000
+#: Conversations have ids below 2^32 and turns below 2^31, so that both fit one query id; others raise.
+MAX_TURNS = 1 << 31
+MAX_CONVERSATIONS = 1 << 32
 
 
 def conversation_queries(turns: DataFrame, history: int = 3) -> DataFrame:
     """One query for each user turn: its text after those of the ``history`` turn numbers before it.
 
-    ``query_id`` is ``conv_id * 1000000 + turn``. A conversation is handled in
+    ``query_id`` is ``conv_id * 2^31 + turn``; ids it could not tell apart raise. A conversation is handled in
     blocks of turns, each with a copy of the turns just before it, so that one
     very long conversation is spread over many tasks.
     """
@@ -28,8 +30,11 @@ def conversation_queries(turns: DataFrame, history: int = 3) -> DataFrame:
     before = Window.partitionBy("conv_id", "block").orderBy("turn").rangeBetween(-history, -1)
     with_history = spread.withColumn("earlier", F.collect_list("text").over(before))
     asked = with_history.where((F.col("block") == F.col("home")) & (F.col("role") == "user"))
+    fits = F.col("turn").between(0, MAX_TURNS - 1) & F.col("conv_id").between(0, MAX_CONVERSATIONS - 1)
+    query_id = F.when(~fits, F.raise_error(F.format_string(
+        "conversation %s, turn %s: not within 2^32 conversations of 2^31 turns", "conv_id", "turn")).cast("bigint"))
     return asked.select(
-        (F.col("conv_id") * MAX_TURNS + F.col("turn")).alias("query_id"), "conv_id", "turn",
+        query_id.otherwise(F.col("conv_id") * MAX_TURNS + F.col("turn")).alias("query_id"), "conv_id", "turn",
         F.array_join(F.concat("earlier", F.array("text")), "\n").alias("text"),
     )
 

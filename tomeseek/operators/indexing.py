@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomeseek import schemas
-from tomeseek.functions.text import text_hash
+from tomeseek.functions.text import doc_hash
 from tomeseek.operators.passages import SIZE, STEP
 from tomeseek.session import written
 from tomeseek.sources.index import Index, bucket_count, create_index, write_batch
@@ -19,17 +19,19 @@ def build_index(docs: DataFrame, path: str, n_buckets: int | None = None, size:
     return write_batch(index, docs, 0)
 
 
-def index_delta(old_state: DataFrame, new_docs: DataFrame) -> DataFrame:
+def index_delta(old_state: DataFrame, new_docs: DataFrame, removed: bool = True) -> DataFrame:
     """doc_id and change: added, changed or removed. Unchanged documents give no row.
 
-    ``old_state`` has doc_id and text_hash, or doc_id and text. Only the hashes
-    are shuffled, never the texts.
+    A change is one of text, lang or source. ``old_state`` has doc_id and
+    doc_hash, or documents' columns. Only the hashes are shuffled, never the
+    texts. With ``removed=False`` the old documents that are no longer there
+    are not asked for, and only those of ``new_docs`` are joined.
     """
     def hashed(df: DataFrame, name: str) -> DataFrame:
-        value = F.col("text_hash") if "text_hash" in df.columns else text_hash(F.col("text"))
+        value = F.col("doc_hash") if "doc_hash" in df.columns else doc_hash()
         return df.select("doc_id", value.alias(name))
 
-    both = hashed(old_state, "old").join(hashed(new_docs, "new"), "doc_id", "full_outer")
+    both = hashed(old_state, "old").join(hashed(new_docs, "new"), "doc_id", "full_outer" if removed else "right")
     change = (
         F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
         .when(F.col("old") != F.col("new"), "changed")
@@ -37,20 +39,15 @@ def index_delta(old_state: DataFrame, new_docs: DataFrame) -> DataFrame:
     return both.select("doc_id", change.alias("change")).where(F.col("change").isNotNull())
 
 
-def refresh_index(index: Index, new_docs: DataFrame, batch: int | None = None, remove_missing: bool = True) -> Index:
+def refresh_index(index: Index, new_docs: DataFrame, remove_missing: bool = True, origin: str | None = None) -> Index:
     """The index brought up to ``new_docs``: only documents that differ are cut and indexed.
 
-    With ``remove_missing=False`` documents absent from ``new_docs`` stay. The
-    same ``batch`` may be written again; it then starts from the state before it.
+    With ``remove_missing=False`` documents absent from ``new_docs`` stay.
+    ``origin`` names where the documents came from, for ``has_batch_of``.
     """
-    batch = index.last_batch + 1 if batch is None else batch
-    before = index.before(batch)
-    delta = index_delta(before.doc_state(), new_docs)
-    if not remove_missing:
-        delta = delta.where(F.col("change") != "removed")
-    delta = written(delta, "delta")
-    if batch > index.last_batch and delta.isEmpty():
+    delta = written(index_delta(index.doc_state(), new_docs, removed=remove_missing), "delta")
+    if delta.isEmpty():
         return index
     fresh = new_docs.join(delta.where(F.col("change") != "removed"), "doc_id", "left_semi")
     retired = delta.where(F.col("change") != "added").select("doc_id")
-    return write_batch(index, fresh, batch, retired)
+    return write_batch(index, fresh, index.last_batch + 1, retired, origin)

@@ -14,7 +14,7 @@ SALTS = 16
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` may be broadcast, by its real row count and bytes.
 
-    Reading stops one row past the limit.
+    One count over all rows, added up in each task first: best asked of a written table.
     """
     size = F.lit(8 * len(df.columns)).cast("bigint")
     for field in df.schema:
@@ -25,8 +25,7 @@ def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BRO
                 if isinstance(field.dataType.elementType, StringType) else F.size(field.name) * 8
             size = size + F.coalesce(width, F.lit(0))
     rows, total = (
-        df.select(size.alias("bytes")).limit(max_rows + 1)
-        .agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        df.select(size.alias("bytes")).agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     )
     return rows <= max_rows and total <= max_bytes
 

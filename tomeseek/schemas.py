@@ -17,10 +17,10 @@ POSTINGS = (
     "doc_id bigint, chunk int, term string, tf int, own_tf int, positions array<int>, "
     "len int, lang string, source string"
 )
-DOC_STATE = "doc_id bigint, text_hash string"
+DOC_STATE = "doc_id bigint, doc_hash string"
 RETIRED = "doc_id bigint"
 TERM_STATS = "term string, df bigint, doc_df bigint"
-CORPUS_STATS = "n bigint, total_len bigint, n_docs bigint"
+CORPUS_STATS = "n bigint, total_len bigint, n_docs bigint, origin string"
 
 QUERIES = "query_id bigint, text string"
 HITS = "query_id bigint, doc_id bigint, chunk int, score double, rank int"

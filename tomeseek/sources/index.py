@@ -7,7 +7,9 @@ hashed, so neither a source nor a group of copies can fill a bucket.
 
 Every table is partitioned by ``batch``. Batch 0 is the first build and each
 later batch holds what changed. A batch is published by its row in
-``corpus_stats``, which is written last; writing a batch again replaces it.
+``corpus_stats``, which is written last and names where the batch came from.
+What is published is never written again; a batch that was cut off before is
+replaced by the next one, which gets its number.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomeseek import schemas
-from tomeseek.functions.text import text_hash
+from tomeseek.functions.text import doc_hash
 from tomeseek.operators import passages as cutting
 from tomeseek.plans.joins import is_small
 
@@ -32,7 +34,6 @@ TABLES = {
     "corpus_stats": (schemas.CORPUS_STATS, None),
 }
 CHARS_PER_BUCKET = 256 * 1024 * 1024
-MAX_BUCKETS = 100_000
 
 
 class Index:
@@ -86,6 +87,10 @@ class Index:
         summed = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("doc_df").alias("doc_df"))
         return summed.where(F.col("df") > 0)
 
+    def has_batch_of(self, origin: str) -> bool:
+        """Whether a published batch came from ``origin``."""
+        return not self.table("corpus_stats").where(F.col("origin") == origin).isEmpty()
+
     def corpus_stats(self) -> DataFrame:
         """One row: n passages, total_len words in them, avgdl, n_docs."""
         counts = self.table("corpus_stats").agg(
@@ -109,7 +114,7 @@ def bucket_count(docs: DataFrame) -> int:
     """
     chars = docs.agg(F.coalesce(F.sum("n_chars"), F.lit(0))).first()[0]
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return int(min(MAX_BUCKETS, max(cores, -(-chars // CHARS_PER_BUCKET))))
+    return int(max(cores, -(-chars // CHARS_PER_BUCKET)))
 
 
 def create_index(
@@ -171,17 +176,19 @@ def _corpus_counts(cut: DataFrame) -> DataFrame:
     )
 
 
-def write_batch(index: Index, docs: DataFrame, batch: int, retired: DataFrame | None = None) -> Index:
-    """Add ``docs`` and take out the documents in ``retired``, as batch number ``batch``.
+def write_batch(index: Index, docs: DataFrame, batch: int, retired: DataFrame | None = None, origin: str | None = None) -> Index:
+    """Add ``docs`` and take out the documents in ``retired``, as batch number ``batch``, the next one.
 
     The only shuffle of the text is the one that puts documents into buckets.
     """
+    if batch <= index.last_batch:
+        raise ValueError(f"batch {batch} is published already")
     spark = docs.sparkSession
     layout = spark.read.parquet(f"{index.path}/layout").first()
     bucketed = docs.select("doc_id", "text", "lang", "source").repartition(layout.n_buckets, "doc_id")
     cut = _put(index, "passages", cutting.passages(bucketed, index.size, index.step), batch)
     posts = _put(index, "postings", cutting.postings(cut, index.step), batch)
-    state = docs.select("doc_id", text_hash(F.col("text")).alias("text_hash"))
+    state = docs.select("doc_id", doc_hash().alias("doc_hash"))
     _put(index, "doc_state", state.repartition(layout.n_buckets, "doc_id"), batch)
 
     terms, corpus = _term_counts(posts), _corpus_counts(cut)
@@ -198,5 +205,5 @@ def write_batch(index: Index, docs: DataFrame, batch: int, retired: DataFrame |
         corpus = corpus.agg(*[F.sum(c).alias(c) for c in less.columns])
     _put(index, "retired", retired, batch)
     _put(index, "term_stats", terms, batch)
-    _put(index, "corpus_stats", corpus, batch)
+    _put(index, "corpus_stats", corpus.withColumn("origin", F.lit(origin).cast("string")), batch)
     return Index(index.spark, index.path, index.size, index.step, max(index.last_batch, batch))
