@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracles import ORACLES  # noqa: E402
-from tomeseek.operators import context, indexing, names, passages, ranking, search, vectors  # noqa: E402
+from tomeseek.operators import collection, context, indexing, names, passages, ranking, search, vectors  # noqa: E402
 from tomeseek.plans.ask import answer_context as ask  # noqa: E402
 from tomeseek.plans.glossary import corpus_glossary  # noqa: E402
 from tomeseek.session import new_folder, written  # noqa: E402
@@ -92,6 +92,18 @@ def passage_windows(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "chunk", F.array_join("tokens", " ").alias("words"), "n_tokens", "own", "lang", "source")
 
 
+def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return collection.exact_dedup(tables.documents(spark, folder))
+
+
+def exact_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return collection.exact_copies(tables.documents(spark, folder))
+
+
+def corpus_profile(spark: SparkSession, folder: str) -> DataFrame:
+    return collection.corpus_profile(tables.documents(spark, folder), tables.labels(spark, folder))
+
+
 def postings(spark: SparkSession, folder: str) -> DataFrame:
     rows = _index(spark, folder).postings()
     return rows.withColumn("positions", F.array_join("positions", " "))
@@ -210,6 +222,9 @@ def retrieval_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "passages": passage_windows,
+    "exact_dedup": exact_dedup,
+    "exact_copies": exact_copies,
+    "corpus_profile": corpus_profile,
     "postings": postings,
     "term_stats": term_stats,
     "passage_stats": passage_stats,

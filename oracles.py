@@ -168,6 +168,10 @@ EVAL_ROWS = """SELECT k, count(*) AS n_queries, round(avg(found::DOUBLE / n_true
   round(avg(dcg / list_sum([1::DOUBLE / log2(i + 1) FOR i IN range(1, least(n_true, k) + 1)])), 6) AS ndcg
 FROM by_query GROUP BY k"""
 
+COPIES = r"""copies AS (
+  SELECT *, min(doc_id) OVER same AS kept_id, count(*) OVER same AS n FROM documents
+  WINDOW same AS (PARTITION BY trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\f\r]+', ' ', 'g'))))"""
+
 EDITION = """edition AS (
   SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' errata' ELSE text END AS text,
     CASE WHEN lang = 'en' AND source = 'src5' THEN 'en-GB' ELSE lang END AS lang,
@@ -180,6 +184,12 @@ ORACLES = {
     "passages": _with(_tokens(), CUT, """SELECT doc_id, chunk, array_to_string(tokens, ' ') AS words,
   len(tokens)::INTEGER AS n_tokens, (CASE WHEN is_last THEN len(tokens) ELSE 96 END)::INTEGER AS own, lang, source
 FROM cut"""),
+    "exact_dedup": _with(COPIES, "SELECT doc_id, text, lang, source, n_chars FROM copies WHERE doc_id = kept_id"),
+    "exact_copies": _with(COPIES, "SELECT doc_id, kept_id, n FROM copies"),
+    "corpus_profile": _with(COPIES, """SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n_docs,
+  sum(n_chars)::BIGINT AS n_chars, count(*) FILTER (WHERE doc_id <> kept_id) AS n_copies,
+  count(quality) AS n_labelled, round(avg(quality), 6) AS good, round(avg(l.toxic), 6) AS toxic
+FROM copies LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (lang, source)"""),
     "postings": _with(*INDEX[:4], """SELECT doc_id, chunk, term, tf::INTEGER AS tf, own_tf::INTEGER AS own_tf,
   positions, len::INTEGER AS len, lang, source FROM post"""),
     "term_stats": TERM_STATS,

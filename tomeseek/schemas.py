@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 BENCHMARK = "item_id bigint, text string"
+LABELS = "doc_id bigint, quality int, toxic int"
 CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
 EMBEDDINGS = "vec_id bigint, embedding array<float>, label int"
 

@@ -16,6 +16,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "documents", schemas.DOCUMENTS)
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "labels", schemas.LABELS)
+
+
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "conversations", schemas.CONVERSATIONS)
 
