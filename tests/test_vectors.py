@@ -88,3 +88,11 @@ def test_plan(spark, index):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert "PartitionFilters: [list_id" in plan and "WindowGroupLimit" in plan
     assert plan.count("Exchange hashpartitioning") == 1  # each task's k best, by query
+
+
+def test_vectors_with_gaps_take_no_part(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, None, 0), (3, [None, 1.0], 0), (4, [float("nan"), 1.0], 0), (5, [float("inf"), 1.0], 0), (6, [1.0, 1.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    index = V.build_vector_index(table, new_folder(spark, "gaps"), 2)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<double>")
+    assert [r.vec_id for r in V.vector_search(asked, index, 9).orderBy("rank").collect()] == [1, 6]

@@ -30,7 +30,6 @@ cloudpickle.register_pickle_by_value(dense)
 SCORE_DIGITS = 5
 SLACK = 1e-6  # rounding errors of distances between unit vectors
 ANYWHERE = 4.0  # more than any distance between unit vectors
-TRAIN_ROWS_PER_LIST = 1_000
 # A block of queries: bounds its broadcast, and the table of queries by lists on the driver.
 BLOCK_QUERIES = 4_096
 BLOCK_PROBES = 4_000_000
@@ -54,17 +53,16 @@ class VectorIndex:
 def build_vector_index(vectors: DataFrame, path: str, n_lists: int, seed: int = 7) -> VectorIndex:
     """Vectors in ``n_lists`` lists, written to ``path``.
 
-    The centres are learned from about 1000 vectors for each list; they only
-    decide how much a search can leave out. Every vector gets a list. A list is
+    The centres are learned from all vectors; they only decide how much a search
+    can leave out. Every vector gets a list, but those that are NULL or hold a
+    NULL or a value that is not finite, which take no part. A list is
     spread over several files, so one that holds much of the data is no
     single task's work.
     """
     spark = vectors.sparkSession
-    vectors = vectors.select("vec_id", "embedding")
-    n_rows, training = vectors.count(), vectors
-    if n_rows > n_lists * TRAIN_ROWS_PER_LIST:
-        training = vectors.sample(n_lists * TRAIN_ROWS_PER_LIST / n_rows, seed)
-    wide = training.select(F.col("embedding").cast("array<double>").alias("wide"))
+    whole = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    vectors = vectors.select("vec_id", "embedding").where(whole)
+    wide = vectors.select(F.col("embedding").cast("array<double>").alias("wide"))
     wide = wide.withColumn("length", norm(F.col("wide")))
     wide = wide.select(array_to_vector(F.when(
         F.col("length") > 0, F.transform("wide", lambda x: x / F.col("length"))
