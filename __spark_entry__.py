@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracles import ORACLES  # noqa: E402
-from tomeseek.operators import collection, context, indexing, names, passages, ranking, search, vectors  # noqa: E402
+from tomeseek.functions import dense  # noqa: E402
+from tomeseek.operators import cleaning, collection, context, indexing, names, passages, ranking, search, vectors  # noqa: E402
 from tomeseek.plans.ask import answer_context as ask  # noqa: E402
 from tomeseek.plans.glossary import corpus_glossary  # noqa: E402
 from tomeseek.session import new_folder, written  # noqa: E402
@@ -71,6 +72,15 @@ def _label_means(spark: SparkSession, folder: str) -> DataFrame:
         means.groupBy("query_id").agg(vector.alias("embedding")), "means"))
 
 
+def _label_index(spark: SparkSession, folder: str) -> vectors.VectorIndex:
+    """The vectors in a list for each label, around the label's mean at unit length."""
+    def make() -> vectors.VectorIndex:
+        means = _label_means(spark, folder).orderBy("query_id").toArrow()
+        centers, _ = dense.unit(dense.matrix(means["embedding"].combine_chunks()))
+        return vectors.build_vector_index(tables.embeddings(spark, folder), new_folder(spark, "by-label"), len(centers), centers=centers)
+    return _once(spark, folder, "by-label", make)
+
+
 def _editions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Two editions of the whole collection.
 
@@ -92,6 +102,14 @@ def passage_windows(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "chunk", F.array_join("tokens", " ").alias("words"), "n_tokens", "own", "lang", "source")
 
 
+def page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaning.page_text(tables.pages(spark, folder))
+
+
+def drop_boilerplate(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaning.drop_boilerplate(tables.documents(spark, folder))
+
+
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return collection.exact_dedup(tables.documents(spark, folder))
 
@@ -170,7 +188,7 @@ def vector_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_search_ivf(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.vector_search_ivf(_label_means(spark, folder), _vectors(spark, folder), K, 4)
+    return vectors.vector_search_ivf(_label_means(spark, folder), _label_index(spark, folder), K, 4)
 
 
 def rank_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -222,6 +240,8 @@ def retrieval_eval(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "passages": passage_windows,
+    "page_text": page_text,
+    "drop_boilerplate": drop_boilerplate,
     "exact_dedup": exact_dedup,
     "exact_copies": exact_copies,
     "corpus_profile": corpus_profile,

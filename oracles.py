@@ -119,6 +119,55 @@ SELECT query_id, vec_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 5
     ORDER BY round(list_cosine_similarity(v, embedding::DOUBLE[]), 5) DESC, vec_id))::INTEGER AS rank
 FROM means, embeddings QUALIFY rank <= 10"""
 
+IVF = """means AS (
+  SELECT label::BIGINT AS id, list(x ORDER BY i) AS v FROM (
+    SELECT label, i, avg(x) AS x FROM (
+      SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+    GROUP BY label, i) GROUP BY label),
+centers AS (SELECT id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS u FROM means),
+units AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS u
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+placed AS (SELECT vec_id, e.u, arg_min(c.id, list_distance(e.u, c.u)) AS list_id FROM units e, centers c GROUP BY vec_id, e.u),
+probes AS (SELECT q.id AS query_id, q.u AS q, c.id AS list_id FROM centers q, centers c
+  QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.u, c.u), c.id) <= 4),
+scored AS (SELECT query_id, vec_id, round(list_dot_product(q, u), 5) AS score FROM probes JOIN placed USING (list_id))
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank
+FROM scored QUALIFY rank <= 10"""
+
+BOILERPLATE = """lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+often AS (SELECT trim(line) AS line FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT text) >= 3),
+marked AS (SELECT doc_id, pos, l.line, o.line IS NOT NULL AS gone FROM lines l LEFT JOIN often o ON trim(l.line) = o.line),
+cleaned AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text,
+    count(*) FILTER (gone) AS n_dropped FROM marked GROUP BY doc_id)
+SELECT doc_id, c.text, lang, source, length(c.text) AS n_chars, coalesce(n_dropped, 0)::INTEGER AS n_dropped
+FROM documents LEFT JOIN cleaned c USING (doc_id)"""
+
+
+def _readable(text: str) -> str:
+    for entity, sign in {
+        "&nbsp;": "' '", "&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&apos;": "chr(39)", "&#39;": "chr(39)",
+        "&middot;": "chr(183)", "&copy;": "chr(169)", "&reg;": "chr(174)", "&ndash;": "chr(8211)", "&mdash;": "chr(8212)",
+        "&hellip;": "chr(8230)", "&euro;": "chr(8364)", "&amp;": "'&'",
+    }.items():
+        text = f"replace({text}, '{entity}', {sign})"
+    text = rf"regexp_replace({text}, '[ \t\f\r]+', ' ', 'g')"
+    text = rf"regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g')"
+    return rf"regexp_replace({text}, '\A[ \n]+|[ \n]+\z', '', 'g')"
+
+
+BLANK = r"[ \t\n\f\r]*"
+PAGES = rf"""shown AS (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script{BLANK}>|\z)'
+  || '|<style\b.*?(?:</style{BLANK}>|\z)|<nav\b.*?</nav{BLANK}>', '', 'g') AS html FROM pages),
+stripped AS (SELECT page_id, url,
+  regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title', 1), '<[A-Za-z/!?][^>]*>', '', 'g') AS title,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<title\b[^>]*>.*?</title[^>]*>', '', 'g'),
+    '(?i)</?(?:p|br|hr|div|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|article|section|header|footer|main|aside|blockquote|pre|form)\b[^>]*>',
+    chr(10), 'g'), '(?i)</?(?:td|th)\b[^>]*>', ' ', 'g'), '<[A-Za-z/!?][^>]*>', '', 'g') AS text
+  FROM shown)
+SELECT page_id, url, {_readable("title")} AS title, {_readable("text")} AS text FROM stripped"""
+
 GLOSSARY = """glossary AS (
   SELECT ('0x' || substr(md5(alias), 1, 15))::BIGINT AS entity_id, alias, kind FROM (
     SELECT term AS alias, 'word' AS kind FROM stats WHERE length(term) >= 10 AND doc_df >= 3
@@ -184,6 +233,8 @@ ORACLES = {
     "passages": _with(_tokens(), CUT, """SELECT doc_id, chunk, array_to_string(tokens, ' ') AS words,
   len(tokens)::INTEGER AS n_tokens, (CASE WHEN is_last THEN len(tokens) ELSE 96 END)::INTEGER AS own, lang, source
 FROM cut"""),
+    "page_text": "WITH " + PAGES,
+    "drop_boilerplate": "WITH " + BOILERPLATE,
     "exact_dedup": _with(COPIES, "SELECT doc_id, text, lang, source, n_chars FROM copies WHERE doc_id = kept_id"),
     "exact_copies": _with(COPIES, "SELECT doc_id, kept_id, n FROM copies"),
     "corpus_profile": _with(COPIES, """SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS n_docs,
@@ -209,6 +260,7 @@ WHERE o.text IS DISTINCT FROM e.text OR o.lang IS DISTINCT FROM e.lang OR o.sour
         *INDEX, QUESTIONS_BY_LANG, _bm25(), "SELECT query_id, doc_id, chunk, score, rank FROM hits"),
     "phrase_search": _with(_tokens(), PHRASE, "SELECT * FROM phrase_hits"),
     "vector_search": "WITH " + VECTORS,
+    "vector_search_ivf": "WITH " + IVF,
     "rank_fusion": _with(*INDEX, QUESTIONS, _bm25(), _bm25("plain", b=0.0), """fused AS (
   SELECT query_id, doc_id, chunk, round(sum(1::DOUBLE / (60 + rank)), 8) AS score
   FROM (SELECT query_id, doc_id, chunk, rank FROM hits UNION ALL SELECT query_id, doc_id, chunk, rank FROM plain)

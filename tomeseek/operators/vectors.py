@@ -50,10 +50,12 @@ class VectorIndex:
         return self.spark.read.parquet(f"{self.path}/lists")
 
 
-def build_vector_index(vectors: DataFrame, path: str, n_lists: int, seed: int = 7) -> VectorIndex:
+def build_vector_index(
+    vectors: DataFrame, path: str, n_lists: int, seed: int = 7, centers: np.ndarray | None = None
+) -> VectorIndex:
     """Vectors in ``n_lists`` lists, written to ``path``.
 
-    The centres are learned from all vectors; they only decide how much a search
+    The centres are learned from all vectors, or given, one row a list; they only decide how much a search
     can leave out. Every vector gets a list, but those that are NULL or hold a
     NULL or a value that is not finite, which take no part. A list is
     spread over several files, so one that holds much of the data is no
@@ -62,13 +64,8 @@ def build_vector_index(vectors: DataFrame, path: str, n_lists: int, seed: int =
     spark = vectors.sparkSession
     whole = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     vectors = vectors.select("vec_id", "embedding").where(whole)
-    wide = vectors.select(F.col("embedding").cast("array<double>").alias("wide"))
-    wide = wide.withColumn("length", norm(F.col("wide")))
-    wide = wide.select(array_to_vector(F.when(
-        F.col("length") > 0, F.transform("wide", lambda x: x / F.col("length"))
-    ).otherwise(F.col("wide"))).alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=10, initMode="random").fit(wide)
-    centers = np.array(model.clusterCenters())
+    if centers is None:
+        centers = _learned(vectors, n_lists, seed)
 
     shared = spark.sparkContext.broadcast(centers)
     placed = vectors.mapInArrow(
@@ -86,6 +83,17 @@ def build_vector_index(vectors: DataFrame, path: str, n_lists: int, seed: int =
     return index
 
 
+def _learned(vectors: DataFrame, n_lists: int, seed: int) -> np.ndarray:
+    """Centres by k-means of all vectors at unit length."""
+    wide = vectors.select(F.col("embedding").cast("array<double>").alias("wide"))
+    wide = wide.withColumn("length", norm(F.col("wide")))
+    wide = wide.select(array_to_vector(F.when(
+        F.col("length") > 0, F.transform("wide", lambda x: x / F.col("length"))
+    ).otherwise(F.col("wide"))).alias("features"))
+    model = KMeans(k=n_lists, seed=seed, maxIter=10, initMode="random").fit(wide)
+    return np.array(model.clusterCenters())
+
+
 def vector_search_ivf(queries: DataFrame, index: VectorIndex, k: int, n_probe: int) -> DataFrame:
     """Cosine top-k among the ``n_probe`` lists nearest to each query: approximate."""
     def search(block: "_Block") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+PAGES = "page_id bigint, url string, html string"
 BENCHMARK = "item_id bigint, text string"
 LABELS = "doc_id bigint, quality int, toxic int"
 CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"

@@ -16,6 +16,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "documents", schemas.DOCUMENTS)
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "pages", schemas.PAGES)
+
+
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, "labels", schemas.LABELS)
 
