@@ -58,7 +58,7 @@ def drop_boilerplate(docs: DataFrame, min_docs: int = 3) -> DataFrame:
     the lines, so one that a third of all documents have is no single task's work.
     """
     lines = F.split("text", "\n", -1)
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.transform(lines, F.trim)).alias("pos", "line"))
+    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.transform(lines, lambda line: F.trim(line))).alias("pos", "line"))
     each = each.where("line <> ''").select("doc_id", "text_hash", "pos", F.sha2("line", 256).alias("line"))
     each = written(each, "line-hashes")
     often = each.select("line", "text_hash").distinct().groupBy("line").count().where(F.col("count") >= min_docs)
