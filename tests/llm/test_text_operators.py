@@ -220,3 +220,14 @@ def test_line_groups_equal_all_pairs(spark):
     want = {i for i in range(len(texts))} - set(firsts.values())
     got = {r.doc_id for r in lines.removed_lines(docs).collect()}
     assert got == want and got
+
+
+# Models of odd labels
+
+def test_quality_of_a_labelled_null_text(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 < 2]
+    rows = [(i, None if i in ids[:4] else f"text number {i} of some words " * 9, i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(ids[9], None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
+    scored = quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()
+    assert len(scored) == 201 and all(0 < r.score < 1 for r in scored)

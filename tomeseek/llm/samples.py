@@ -35,9 +35,10 @@ def sample_pieces(docs: DataFrame, labels: DataFrame, wanted: int, size: int) ->
 
     ``labels``: doc_id, group. Which pieces are drawn depends on the id and the
     piece's place alone. The sample is at most twice ``wanted`` for each class; the
-    text of no other document leaves its task.
+    text of no other document leaves its task. A NULL text has no piece.
     """
-    sized = docs.select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / size)).alias("n")).where("n is not null")
+    docs = docs.where("text is not null")
+    sized = docs.select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length("text") / size)).alias("n"))
     of = sized.join(labels, "doc_id")
     counts = {r["group"]: r["n"] for r in of.groupBy("group").agg(F.sum("n").alias("n")).collect()}
     share = shares(counts, wanted)
