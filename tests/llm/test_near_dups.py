@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
@@ -84,3 +85,30 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r.lang, r.text_hash) for r in kept.collect()) == [(0, "g", 7), (2, "b", 2), (7, "f", 6), (8, "e", 5)]
     assert near_dups.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_copies_equal_all_pairs_by_similarity(spark):
+    draw = random.Random(7)
+    docs = [(i, t) for i, t in enumerate((None, " ", "a b", "A  b", "w " * 9, "w " * 40))]
+    for _ in range(12):
+        base = [f"v{draw.randrange(5000)}" for _ in range(draw.choice((30, 100, 300)))]
+        docs.append((len(docs), " ".join(base)))
+        for edits in range(1, 8):
+            new = list(base)
+            for at in draw.sample(range(len(base)), max(1, edits * len(base) // 300)):
+                new[at] += "x"
+            docs.append((len(docs), " ".join(new)))
+
+    def bag(text):
+        words = (text or "").lower().split()
+        return Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else Counter([tuple(words)] if words else [])
+
+    bags = {i: bag(t) for i, t in docs}
+    alike = lambda a, b: not (bags[a] or bags[b]) or (bags[a] & bags[b]).total() >= 0.8 * (bags[a] | bags[b]).total()
+    want = {i for i, root in groups(bags, alike).items() if i == root}
+    kept = near_dups.drop_near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id for r in kept} == want and len(want) < 40
+    # Pairs of similarity 0.8 to 0.85 share a band.
+    close = [(a, b) for a in bags for b in range(a) if bags[a] and 0.8 <= (bags[a] & bags[b]).total() / (bags[a] | bags[b]).total() < 0.85]
+    bands = {i: set(near_dups.bands_of(t, 5)) for i, t in docs}
+    assert len(close) > 20 and sum(bool(bands[a] & bands[b]) for a, b in close) >= 0.99 * len(close)

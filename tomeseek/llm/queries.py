@@ -34,7 +34,8 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    rows, classes = near_dups.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    rows, classes = near_dups.near_duplicates(
+        table(spark, folder, "documents").select("doc_id", "text"), words=near_dups.WORDS, similarity=None)
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
