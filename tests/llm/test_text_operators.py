@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -231,3 +232,31 @@ def test_quality_of_a_labelled_null_text(spark):
     labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
     scored = quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()
     assert len(scored) == 201 and all(0 < r.score < 1 for r in scored)
+
+
+# Lines by edits
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edited_lines_go_by_edit_similarity_alone(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    texts = []
+    for n in (5, 10, 20, 30, 100):
+        for _ in range(20):
+            first, share = [word() for _ in range(n)], draw.choice((0.05, 0.1, 0.15))
+            other = list(first)
+            for at in draw.sample(range(n), max(1, int(share * n))):
+                other[at] = word()
+            texts += [" ".join(first), " ".join(other)]
+    pairs = [(i, i + 1) for i in range(0, len(texts), 2) if plain_edits(texts[i], texts[i + 1]) <= 0.2 * max(map(len, texts[i : i + 2]))]
+    got = {r.doc_id for r in lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), by_edits=True).collect()}
+    found = sum(b in got for _, b in pairs)
+    assert got <= {b for _, b in pairs} and len(pairs) > 70 and found >= 0.95 * len(pairs), (found, len(pairs))

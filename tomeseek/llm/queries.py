@@ -29,7 +29,7 @@ def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cleaned = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    cleaned = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"), by_edits=True)
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
