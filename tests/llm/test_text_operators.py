@@ -260,3 +260,11 @@ def test_edited_lines_go_by_edit_similarity_alone(spark):
     got = {r.doc_id for r in lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), by_edits=True).collect()}
     found = sum(b in got for _, b in pairs)
     assert got <= {b for _, b in pairs} and len(pairs) > 70 and found >= 0.95 * len(pairs), (found, len(pairs))
+
+
+def test_short_lines_and_digits(spark):
+    price = "item costs {0} euros in shop {1} on day {0} of year {1}"
+    rows = [(1, "Les.\n\n12 34\n***\n" + price.format(11111111, 22222222)), (2, "les\n\n12 35\n***\n" + price.format(98765430, 43098765)), (3, "les!\n12 34\n東京")]
+    docs = spark.createDataFrame([*rows, (4, "東京")], "doc_id bigint, text string")
+    got = {r.doc_id: r.positions for r in lines.removed_lines(docs, by_edits=True).collect()}
+    assert got == {2: [0, 3], 3: [0, 1], 4: [0]}
