@@ -268,3 +268,22 @@ def test_short_lines_and_digits(spark):
     docs = spark.createDataFrame([*rows, (4, "東京")], "doc_id bigint, text string")
     got = {r.doc_id: r.positions for r in lines.removed_lines(docs, by_edits=True).collect()}
     assert got == {2: [0, 3], 3: [0, 1], 4: [0]}
+
+
+def test_quality_scores_stay_alike_in_samples(spark, monkeypatch):
+    draw = random.Random(2)
+    good, bad = ([f"{c}{draw.randrange(10**6)}" for _ in range(300)] for c in "gb")
+    rows = []
+    for i in range(4000):
+        q = int(draw.random() < 0.85)
+        share = min(1, max(0, draw.gauss(0.6 if q else 0.4, 0.15)))
+        rows.append((i, " ".join(draw.choice(good if draw.random() < share else bad) for _ in range(40)), q))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int")
+    means = []
+    for texts in (10_000, 120):
+        monkeypatch.setattr(quality, "CURVE_TEXTS", texts)
+        scored = quality.score_quality(docs, quality.fit_quality(docs, labels)).collect()
+        means.append(np.mean([r.score for r in scored]))
+    print("means", means)
+    assert abs(means[0] - means[1]) < 0.05

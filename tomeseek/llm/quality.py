@@ -73,14 +73,15 @@ def _dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Logistic regression by Newton steps with a little shrinking, on centred columns."""
-    centre, spread = x.mean(0), x.std(0) + 1e-9
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Logistic regression of weighted rows by Newton steps with a little shrinking, on centred columns."""
+    centre = np.average(x, 0, weight)
+    spread = np.sqrt(np.average((x - centre) ** 2, 0, weight)) + 1e-9
     design = np.c_[np.ones(len(x)), (x - centre) / spread]
     w, keep = np.zeros(design.shape[1]), np.diag([1e-6, 1e-2, 1e-2])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + keep, design.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + keep, design.T @ (weight * (y - p)) - keep @ w)
         w += np.clip(step, -4, 4)
     slopes = w[1:] / spread
     return float(w[0] - slopes @ centre), float(slopes[0]), float(slopes[1])
@@ -90,7 +91,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on the rows of ``labels`` (doc_id, quality 0 or 1) outside fold 2; other values of quality are left out.
 
     Folds 0 and 1 give the dictionaries (DICTIONARY_BLOCKS blocks of each class), fold
-    3 the curve (CURVE_TEXTS texts of each class): samples by hash, of all labelled rows. If
+    3 the curve (CURVE_TEXTS texts of each class, weighted by the class's size): samples by hash, of all labelled rows. If
     a class has no row, every text gets the share of good ones among the labels (0.5 if there are none).
     """
     known = labels.where(F.col("quality").isin(0, 1) & (fold_of("doc_id") != 2)).select("doc_id", F.col("quality").cast("int").alias("group"))
@@ -107,7 +108,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     measured = docs.select("doc_id", "text").join(F.broadcast(late), "doc_id").select("group", _measure(raw)("text").alias("x")).select("group", "x.*").collect()
     measured.sort()
     x = np.array([(r["difference"], r["own"]) for r in measured])
-    return QualityModel(raw.good, raw.bad, _fit_curve(x, np.array([r["group"] for r in measured], float)))
+    y = np.array([r["group"] for r in measured])
+    # Each row stands for as many of its class: the curve learns the true share, whatever part of a class is drawn.
+    weight = np.array([counts[c] for c in (0, 1)])[y] / np.maximum(np.bincount(y, minlength=2), 1)[y]
+    return QualityModel(raw.good, raw.bad, _fit_curve(x, y.astype(float), weight))
 
 
 def _measure(model: QualityModel):
