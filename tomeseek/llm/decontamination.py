@@ -4,8 +4,9 @@ For each benchmark item of n words, every window of n words of a document is a
 candidate. Windows that have no five-word shingle of an item of their length have
 similarity 0 with all of them and are passed over. The others get a fingerprint of
 128 bits. Items are kept by the eight 16-bit blocks of theirs; each block of a
-window's is looked up with up to two bits flipped, which finds every item within 23
-bits (24 would need three in each block). What is found is then compared exactly:
+window's is looked up with up to three bits flipped, which finds every item within 31
+bits (32 would need four in each block); if there are fewer items of the length than
+look-ups, all are compared. Fingerprints of similarity 0.8 are some 18 bits apart. What is found is then compared exactly:
 the weighted Jaccard similarity of the shingles, each weighing as often as it occurs.
 """
 
@@ -27,7 +28,7 @@ from tomeseek.session import written
 SHINGLE = 5
 SIMILARITY = 0.8
 BLOCKS = 8
-FLIPS = 2
+FLIPS = 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 #: Bytes of benchmark text that are sent to the tasks at a time; a larger benchmark is taken in parts.
 PART = 8 << 20
@@ -83,6 +84,8 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 _MASKS = np.array([sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(16), k)], np.uint16)
+#: Items of one length up to which a window is compared with all of them: so many look-ups it would have.
+SCANNED = BLOCKS * len(_MASKS)
 
 
 class ItemIndex:
@@ -108,6 +111,11 @@ class ItemIndex:
 
     def near(self, prints: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
         """(window, item) of all items of ``n`` words within RADIUS bits."""
+        own = np.flatnonzero(self.sizes == n)
+        if len(own) <= SCANNED:
+            apart = np.bitwise_count(prints[:, None] ^ self.prints[own]).sum(2, dtype=np.int64)
+            yield from ((int(w), int(own[k])) for w, k in zip(*np.nonzero(apart <= RADIUS)))
+            return
         found = set()
         for b in range(BLOCKS):
             probes = prints[:, b, None] ^ _MASKS
