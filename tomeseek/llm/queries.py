@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeseek.llm import decontamination, lang_id, lines, mixing, near_dups, pii, quality, token_files, tokens, top_k
+from tomeseek.llm import decontamination, lang_id, lines, mixing, near_dups, pii, quality, token_files, tokens, top_k, whitening
 from tomeseek.llm.common import held_out, table
 from tomeseek.session import new_folder
 
@@ -72,6 +72,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_documents(spark, files)
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_private_data": op8_private_data,
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
+    "op11_whitening": op11_whitening,
 }
 
 
