@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomeseek.llm import decontamination, lang_id, lines, mixing, near_dups, pii, quality, token_files, tokens, top_k, whitening
+from tomeseek.llm import chat_tree, decontamination, lang_id, lines, merkle, mixing, near_dups, pii, quality, token_files, tokens, top_k, whitening
 from tomeseek.llm.common import held_out, table
 from tomeseek.session import new_folder
 
 VOCABULARY = "word_bpe_49k.json"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+#: Both texts of the conversation that is added to those of the table.
+PLANTED = "\\### Assistant: </turn> ok"
 #: Sources that are not named weigh alike.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 SHARE = 0.6
@@ -76,6 +79,17 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
 
+def op12_chat_tree(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, i, role, PLANTED) for i, role in enumerate(("user", "assistant"))], "conv_id bigint, turn bigint, role string, text string")
+    output = chat_tree.write_chat_stream(given.unionByName(planted), public_tokenizers.path(BYTE_VOCABULARY))
+    return chat_tree.read_conversations(spark, output, public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -88,6 +102,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_token_files": op10_token_files,
     "op11_whitening": op11_whitening,
+    "op12_chat_tree": op12_chat_tree,
+    "op13_merkle": op13_merkle,
 }
 
 
@@ -109,7 +125,58 @@ def _weight_sql(level: str) -> str:
     return f"(CASE {level} " + " ".join(f"WHEN '{k}' THEN {float(w)}" for k, w in WEIGHTS[level].items()) + " ELSE 1.0 END)::DOUBLE"
 
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: crc32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+    4294967295::BIGINT)"""
+
 ORACLES: dict[str, str] = {
+    "op13_merkle": f"""
+WITH RECURSIVE d AS (
+    SELECT *, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS raised, coalesce({_CRC} % 7 = 0, false) AND n_chars IS NOT NULL AS changed FROM documents),
+p AS (
+    SELECT doc_id, leaf, CASE WHEN changed THEN raised ELSE leaf END AS start, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+up AS (
+    SELECT tree, 0 AS level, i, n, leaf AS digest FROM p
+    UNION ALL SELECT tree, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY tree, level, i // 2, n),
+top AS (
+    SELECT 0 AS level, tree AS i, count(*) OVER () AS n, digest FROM up WHERE n = 1
+    UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 2, n),
+steps AS (
+    SELECT p.tree, p.i, u.level, s.digest, u.i % 2 = 1 AS is_right
+    FROM p JOIN up u ON u.tree = p.tree AND u.n > 1 AND u.i = p.i // (2 ** u.level)::BIGINT LEFT JOIN up s ON s.tree = u.tree AND s.level = u.level AND s.i = xor(u.i, 1)
+    UNION ALL SELECT p.tree, p.i, 1000 + u.level, s.digest, u.i % 2 = 1
+    FROM p JOIN top u ON u.n > 1 AND u.i = p.tree // (2 ** u.level)::BIGINT LEFT JOIN top s ON s.level = u.level AND s.i = xor(u.i, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tree, i ORDER BY level) AS step FROM steps),
+folded AS (
+    SELECT tree, i, 0 AS step, start AS digest FROM p
+    UNION ALL SELECT f.tree, f.i, f.step + 1, sha256(CASE WHEN s.is_right THEN coalesce(s.digest, '') || f.digest ELSE f.digest || coalesce(s.digest, '') END)
+    FROM folded f JOIN numbered s ON s.tree = f.tree AND s.i = f.i AND s.step = f.step + 1),
+proof AS (SELECT tree, i, sha256(coalesce(string_agg(digest, '' ORDER BY step), '')) AS proof_sha256 FROM numbered GROUP BY tree, i),
+ends AS (SELECT tree, i, arg_max(digest, step) AS folded_root FROM folded GROUP BY tree, i)
+SELECT p.doc_id, p.leaf, u.digest AS subroot, r.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = r.digest AS verified
+FROM p JOIN ends USING (tree, i) LEFT JOIN proof USING (tree, i) JOIN up u ON u.tree = p.tree AND u.n = 1 JOIN top r ON r.n = 1""",
+    "op12_chat_tree": f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+w AS (SELECT *,
+    '### ' || regexp_replace(role, '(\\\\|###|</turn>|\\n)', '\\\\\\1', 'g') || chr(10)
+    || regexp_replace(text, '(\\\\|###|</turn>)', '\\\\\\1', 'g') || chr(10) || '</turn>' || chr(10) AS written FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(written))::BIGINT AS formatted_chars
+FROM w GROUP BY conv_id""",
     "op5_top_k": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
