@@ -11,7 +11,7 @@ WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}]+')"
 
 def _with(*parts: str) -> str:
     *tables, last = parts
-    return "WITH " + ",\n".join(tables) + "\n" + last
+    return "WITH RECURSIVE " + ",\n".join(tables) + "\n" + last
 
 
 def _tokens(source: str = "documents") -> str:
@@ -104,20 +104,79 @@ starts AS (SELECT query_id, doc_id, place, p FROM phrases JOIN spots ON t0 = p[1
 phrase_hits AS (SELECT query_id, doc_id, place::INTEGER AS start
   FROM starts JOIN tok USING (doc_id) WHERE w[place + 1 : place + len(p)] = p)"""
 
+PROXIMITY = f"""near_asked AS (SELECT item_id AS query_id, {WORDS.format("text")} AS w FROM benchmark
+  UNION ALL SELECT -1 - item_id, {WORDS.format("array_to_string(string_split(text, ' ')[1:8], ' ')")} FROM benchmark),
+needs AS (SELECT query_id, term, count(*) AS need, count(*) OVER (PARTITION BY query_id) AS n_terms
+  FROM (SELECT query_id, unnest(w) AS term FROM near_asked) GROUP BY query_id, term),
+places AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM tok),
+there AS (SELECT query_id, doc_id, term, pos, need, n_terms FROM needs JOIN places USING (term)
+  QUALIFY count(*) OVER (PARTITION BY query_id, doc_id, term) >= need),
+complete AS (SELECT query_id, doc_id FROM there GROUP BY query_id, doc_id HAVING count(DISTINCT term) = max(n_terms)),
+backs AS (SELECT *, lag(pos, need - 1) OVER (PARTITION BY query_id, doc_id, term ORDER BY pos) AS back
+  FROM there SEMI JOIN complete USING (query_id, doc_id)),
+ends AS (SELECT e.query_id, e.doc_id, e.pos, e.n_terms, b.term, max(b.back) AS back
+  FROM backs e JOIN backs b ON e.query_id = b.query_id AND e.doc_id = b.doc_id AND b.pos <= e.pos WHERE b.back IS NOT NULL GROUP BY ALL),
+stretches AS (SELECT query_id, doc_id, min(back) AS start, pos - min(back) + 1 AS width FROM ends
+  GROUP BY query_id, doc_id, pos HAVING count(*) = max(n_terms)),
+shortest AS (SELECT query_id, doc_id, min(width) AS width, arg_min(start, width * 1000000000 + start) AS start FROM stretches GROUP BY query_id, doc_id)"""
+
+DIVERSE = """scored AS (SELECT query_id, h.doc_id, h.chunk, h.rank, h.score / max(h.score) OVER (PARTITION BY query_id) AS part, len(c.tokens) AS n, c.tokens, list_distinct(c.tokens) AS kinds
+  FROM hits h JOIN cut c ON h.doc_id = c.doc_id AND h.chunk = c.chunk),
+alike AS (SELECT a.query_id, a.rank AS a, b.rank AS b, round(len(list_intersect(a.kinds, b.kinds))::DOUBLE / greatest(len(list_distinct(a.kinds || b.kinds)), 1), 6) AS alike
+  FROM scored a JOIN scored b USING (query_id)),
+picks AS (
+  SELECT DISTINCT query_id, []::INTEGER[] AS chosen, 0::BIGINT AS used FROM scored
+  UNION ALL
+  SELECT query_id, list_append(chosen, rank), used + n FROM (
+    SELECT p.query_id, p.chosen, p.used, s.rank, s.n,
+      row_number() OVER (PARTITION BY p.query_id ORDER BY round(0.5 * s.part - 0.5 * coalesce(max(k.alike) FILTER (list_contains(p.chosen, k.b)), 0), 6) DESC, s.rank) AS place
+    FROM picks p JOIN scored s ON s.query_id = p.query_id AND NOT list_contains(p.chosen, s.rank) AND p.used + s.n <= 400
+    JOIN alike k ON k.query_id = p.query_id AND k.a = s.rank
+    GROUP BY p.query_id, p.chosen, p.used, s.rank, s.n, s.part) WHERE place = 1),
+ended AS (SELECT query_id, arg_max(chosen, len(chosen)) AS chosen, max(used) AS used FROM picks GROUP BY query_id),
+listed AS (SELECT query_id, used, unnest(chosen) AS rank, generate_subscripts(chosen, 1) AS place FROM ended),
+chosen AS (SELECT query_id, count(*) AS n_passages, max(used)::BIGINT AS n_words,
+    string_agg(doc_id || ':' || chunk, ' ' ORDER BY place) AS cited, string_agg(array_to_string(tokens, ' '), chr(10) ORDER BY place) AS context
+  FROM listed JOIN scored USING (query_id, rank) GROUP BY query_id)"""
+
+MISSPELT = """name_words AS (SELECT DISTINCT alias, unnest(string_split(alias, ' ')) AS word FROM glossary),
+long_words AS (SELECT DISTINCT word FROM name_words WHERE length(word) >= 5),
+long_terms AS (SELECT term FROM stats WHERE length(term) >= 5 AND term NOT IN (SELECT word FROM name_words)),
+-- One edit leaves two letters at one end as they are; all pairs that agree there are compared. levenshtein() would count bytes.
+two_equal AS (
+  SELECT word, term FROM long_words JOIN long_terms ON left(word, 2) = left(term, 2) AND abs(length(term) - length(word)) <= 1
+  UNION SELECT word, term FROM long_words JOIN long_terms ON right(word, 2) = right(term, 2) AND abs(length(term) - length(word)) <= 1),
+near_words AS (SELECT word, term FROM two_equal WHERE levenshtein(word, term) <= 4
+  AND len(list_filter(range(1, greatest(length(word), length(term)) + 1), lambda i: left(word, i - 1) = left(term, i - 1) AND
+    CASE WHEN length(word) = length(term) THEN substr(word, i + 1) = substr(term, i + 1)
+      WHEN length(word) > length(term) THEN substr(word, i + 1) = substr(term, i) ELSE substr(term, i + 1) = substr(word, i) END)) > 0),
+misspelt AS (
+  SELECT entity_id, alias, word, term, array_to_string([CASE WHEN x = word THEN term ELSE x END FOR x IN string_split(alias, ' ')], ' ') AS variant
+  FROM near_words JOIN name_words USING (word) JOIN glossary USING (alias)),
+misspelt_rows AS (SELECT * FROM misspelt WHERE variant NOT IN (SELECT alias FROM glossary))"""
+
+PAIRED = """truth AS (SELECT DISTINCT query_id, doc_id FROM phrase_hits),
+gains AS (
+  SELECT side, query_id, coalesce(round(1e9::DOUBLE / min(place)), 0)::BIGINT AS gain FROM (SELECT 'a' AS side UNION ALL SELECT 'b') JOIN truth ON true
+  LEFT JOIN (SELECT side, query_id, doc_id, row_number() OVER (PARTITION BY side, query_id ORDER BY min(rank), doc_id) AS place
+    FROM (SELECT 'a' AS side, query_id, doc_id, rank FROM hits UNION ALL SELECT 'b', query_id, doc_id, rank FROM plain) GROUP BY side, query_id, doc_id) USING (side, query_id, doc_id)
+  GROUP BY side, query_id),
+both_gains AS (SELECT query_id, a.gain AS a, b.gain AS b, a.gain - b.gain AS d
+  FROM gains a JOIN gains b USING (query_id) WHERE a.side = 'a' AND b.side = 'b'),
+flips AS (SELECT round, abs(sum(CASE WHEN round = 0 OR substr(md5('7:' || round || ':' || query_id), 1, 1) < '8' THEN d ELSE -d END)) AS total
+  FROM both_gains, range(0, 1001) r(round) GROUP BY round),
+p_values AS (SELECT round(count(*) FILTER (f.total >= r.total) / 1001.0::DOUBLE, 6) AS p_value FROM flips f, (SELECT total FROM flips WHERE round = 0) r)"""
+
 WEIGHTS = """doc_terms AS (SELECT doc_id, term, sum(own_tf)::BIGINT AS tf FROM post GROUP BY ALL HAVING sum(own_tf) > 0),
 weights AS (
   SELECT doc_id, term, tf, round(tf * ln(n_docs::DOUBLE / doc_df), 6) AS score
   FROM doc_terms JOIN stats USING (term), corpus)"""
 
-VECTORS = """means AS (
-  SELECT label::BIGINT AS query_id, list(x ORDER BY i) AS v FROM (
-    SELECT label, i, avg(x) AS x FROM (
-      SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
-    GROUP BY label, i) GROUP BY label)
+VECTORS = """asked AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0)
 SELECT query_id, vec_id, round(list_cosine_similarity(v, embedding::DOUBLE[]), 5) AS score,
   (row_number() OVER (PARTITION BY query_id
     ORDER BY round(list_cosine_similarity(v, embedding::DOUBLE[]), 5) DESC, vec_id))::INTEGER AS rank
-FROM means, embeddings QUALIFY rank <= 10"""
+FROM asked, embeddings QUALIFY rank <= 10"""
 
 IVF = """means AS (
   SELECT label::BIGINT AS id, list(x ORDER BY i) AS v FROM (
@@ -128,8 +187,8 @@ centers AS (SELECT id, [x / sqrt(list_dot_product(v, v)) FOR x IN v] AS u FROM m
 units AS (SELECT vec_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS u
   FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
 placed AS (SELECT vec_id, e.u, arg_min(c.id, list_distance(e.u, c.u)) AS list_id FROM units e, centers c GROUP BY vec_id, e.u),
-probes AS (SELECT q.id AS query_id, q.u AS q, c.id AS list_id FROM centers q, centers c
-  QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.u, c.u), c.id) <= 4),
+probes AS (SELECT q.vec_id AS query_id, q.u AS q, c.id AS list_id FROM units q, centers c WHERE q.vec_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.u, c.u), c.id) <= 8),
 scored AS (SELECT query_id, vec_id, round(list_dot_product(q, u), 5) AS score FROM probes JOIN placed USING (list_id))
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank
 FROM scored QUALIFY rank <= 10"""
@@ -254,11 +313,22 @@ FROM weights QUALIFY rank <= 20"""),
   WHEN e.text IS NULL THEN 'removed' ELSE 'changed' END AS change
 FROM (SELECT * FROM documents WHERE lang <> 'de') o FULL JOIN edition e USING (doc_id)
 WHERE o.text IS DISTINCT FROM e.text OR o.lang IS DISTINCT FROM e.lang OR o.source IS DISTINCT FROM e.source"""),
+    "index_compact": _with(EDITION, _tokens("edition"), *INDEX[1:4], """SELECT doc_id, chunk, term, tf::INTEGER AS tf, own_tf::INTEGER AS own_tf,
+  positions, len::INTEGER AS len, lang, source FROM post"""),
     "index_refresh": _with(EDITION, _tokens("edition"), CUT, OCCUR, POST, STATS, "SELECT term, df, doc_df FROM stats"),
     "bm25_search": _with(*INDEX, QUESTIONS, _bm25(), "SELECT query_id, doc_id, chunk, score, rank FROM hits"),
     "bm25_search_filtered": _with(
         *INDEX, QUESTIONS_BY_LANG, _bm25(), "SELECT query_id, doc_id, chunk, score, rank FROM hits"),
     "phrase_search": _with(_tokens(), PHRASE, "SELECT * FROM phrase_hits"),
+    "proximity_search": _with(_tokens(), PROXIMITY, """SELECT query_id, doc_id, start::INTEGER AS start, width::INTEGER AS width,
+  (row_number() OVER (PARTITION BY query_id ORDER BY width, doc_id))::INTEGER AS rank FROM shortest QUALIFY rank <= 10"""),
+    "diverse_context": _with(*INDEX, QUESTIONS, _bm25(), DIVERSE, CONTEXT_ROWS),
+    "misspelt_names": _with(*INDEX[:5], GLOSSARY, MISSPELT, "SELECT * FROM misspelt_rows"),
+    "link_misspelt": _with(*INDEX[:5], GLOSSARY.replace("glossary AS", "names AS", 1), MISSPELT.replace("glossary", "names"),
+        "glossary AS (SELECT DISTINCT entity_id, variant AS alias FROM misspelt_rows)", MENTIONS, "SELECT * FROM mentions"),
+    "paired_test": _with(*INDEX, QUESTIONS, _bm25(), _bm25("plain", b=0.0), PHRASE, PAIRED, """SELECT count(*) AS n_queries,
+  round(avg(a) / 1e9, 6) AS mean_a, round(avg(b) / 1e9, 6) AS mean_b, round(avg(d) / 1e9, 6) AS difference,
+  any_value(p_value) AS p_value FROM both_gains, p_values"""),
     "vector_search": "WITH " + VECTORS,
     "vector_search_ivf": "WITH " + IVF,
     "rank_fusion": _with(*INDEX, QUESTIONS, _bm25(), _bm25("plain", b=0.0), """fused AS (
@@ -267,12 +337,12 @@ WHERE o.text IS DISTINCT FROM e.text OR o.lang IS DISTINCT FROM e.lang OR o.sour
   GROUP BY ALL)""", """SELECT *,
   (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk))::INTEGER AS rank
 FROM fused QUALIFY rank <= 10"""),
-    "related_documents": _with(*INDEX, WEIGHTS, QUESTIONS, _bm25(), """units AS (
+    "related_documents": _with(*INDEX, WEIGHTS, """units AS (
   SELECT doc_id, term, score / sqrt(sum(score * score) OVER (PARTITION BY doc_id)) AS weight
   FROM weights WHERE score > 0)""", """near AS (
   SELECT a.doc_id AS from_doc, b.doc_id AS doc_id, round(sum(a.weight * b.weight), 4) AS score
   FROM units a JOIN units b ON a.term = b.term AND a.doc_id <> b.doc_id
-  WHERE a.doc_id IN (SELECT doc_id FROM hits WHERE rank = 1) GROUP BY ALL)""", """SELECT *,
+  WHERE a.doc_id % 100 = 0 GROUP BY ALL)""", """SELECT *,
   (row_number() OVER (PARTITION BY from_doc ORDER BY score DESC, doc_id))::INTEGER AS rank
 FROM near QUALIFY rank <= 5"""),
     "conversation_queries": _with(TURN_QUERIES, "SELECT * FROM turn_queries"),

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tomeseek.operators.indexing import build_index, index_delta, refresh_index
+from tomeseek.operators.indexing import build_index, compact_index, index_delta, refresh_index
 from tomeseek.operators.search import bm25_search
 from tomeseek.session import new_folder
 from tomeseek.sources import index as index_tables
@@ -148,3 +148,56 @@ def test_two_texts_for_one_document(spark, make_docs):
     index = create_index(spark, new_folder(spark, "streamed"), 3)
     index = ingest_stream(spark, source, index, new_folder(spark, "state"))
     assert index.doc_state().count() == 1 and index.passages().count() == 1
+
+
+def test_compaction(spark, make_docs, make_index, make_queries, monkeypatch):
+    index = refresh_index(make_index(OLD), make_docs(NEW))
+    index = refresh_index(index, make_docs({9: "late alpha"}), remove_missing=False, origin="stream:1")
+    index = refresh_index(index, make_docs(OLD | {2: "gamma once", 9: "late alpha"}))
+    before, asked = content(index), make_queries(QUERIES)
+    hits = sorted(bm25_search(asked, index, 5).collect())
+
+    # Cut off before it is published: the index is as it was, and the next run takes the same number.
+    with monkeypatch.context() as cut:
+        cut.setattr(index_tables, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            compact_index(index)
+    assert content(open_index(spark, index.path)) == before
+
+    merged = compact_index(index)
+    assert (merged.base, merged.last_batch) == (4, 4) and content(merged) == before
+    assert content(index) == before and content(merged.before(4)) == before  # earlier snapshots can still be read
+    assert sorted(bm25_search(asked, merged, 5).collect()) == hits
+    # One row a document, one file a bucket.
+    assert merged.table("passages").count() == merged.passages().count()
+    assert len({f for f in merged.table("postings").inputFiles()}) <= 3
+    assert compact_index(merged) is merged
+
+    emptied = compact_index(merged, drop_old=True)
+    for again in (emptied, open_index(spark, index.path)):
+        assert content(again) == before and again.base == 4
+        assert again.has_batch_of("stream:1")
+    assert spark.table(table_name(index.path, "passages")).where("batch < 4").isEmpty()
+    # Batches go on from there.
+    assert content(refresh_index(emptied, make_docs(NEW))) == content(make_index(NEW))
+
+
+@pytest.fixture
+def bucketed_scans(spark):
+    """Plans as they are for a scan whose buckets are kept: they name the buckets that are read."""
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+
+
+def test_compaction_shuffles_no_text(make_docs, make_index, bucketed_scans):
+    plan = bucketed_scans(refresh_index(make_index(OLD), make_docs(NEW)).passages())
+    assert "hashpartitioning" not in plan and "Bucketed: true" in plan and "SelectedBucketsCount: 3 out of 3" in plan
+
+
+def test_few_documents_open_their_buckets_only(spark, make_docs, make_index, bucketed_scans):
+    index = make_index(OLD)
+    ids = spark.createDataFrame([(2,)], "doc_id bigint")
+    assert "SelectedBucketsCount: 1 out of 3" in bucketed_scans(index_tables.of_documents(index.passages(), ids))
+    many = spark.range(1000).withColumnRenamed("id", "doc_id")
+    assert sorted(map(str, index_tables.of_documents(index.passages(), many).collect())) == sorted(map(str, index.passages().collect()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomeseek.functions.text import let
 from tomeseek.operators.passages import SIZE, STEP
 from tomeseek.plans.joins import is_small
 
@@ -88,3 +89,58 @@ def assemble_context(
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_passages", "n_words")],
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("cited", "context")],
     )
+
+
+DIVERSE_DIGITS = 6
+
+
+def diverse_context(queries: DataFrame, hits: DataFrame, passages: DataFrame, budget: int, weight: float = 0.5) -> DataFrame:
+    """One row for each query: passages chosen one by one, each for its score less its likeness to those chosen.
+
+    A passage is worth ``weight`` times its score (over the query's highest) less
+    ``1 - weight`` times its greatest likeness to a chosen one: words that both
+    have over words that either has. The worthiest that still fits in ``budget`` words comes next, of
+    equals the one with the better rank, until none fits. ``cited`` is in that order. A query
+    without a hit, or none that fits, keeps its row with an empty context.
+
+    A query's hits are compared with each other, and a search has already cut them to
+    its k; nothing else grows with the square. ``hits`` should be a written table.
+    """
+    texts = passages.select("doc_id", "chunk", "tokens")
+    found = (F.broadcast(hits) if is_small(hits) else hits).join(texts, ["doc_id", "chunk"])
+    row = F.struct("rank", "doc_id", "chunk", "score", F.size("tokens").cast("bigint").alias("n"), "tokens", F.array_distinct("tokens").alias("kinds"))
+    cases = found.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+    def like(a, b):
+        return F.round(F.size(F.array_intersect(a["kinds"], b["kinds"])) / F.greatest(F.size(F.array_union(a["kinds"], b["kinds"])), F.lit(1)), DIVERSE_DIGITS)
+
+    # Columns of their own, so that the steps below read them and don't make them again.
+    cases = cases.select(
+        "query_id", "rows", F.transform("rows", lambda a: F.transform("rows", lambda b: like(a, b))).alias("alike"),
+        F.array_max(F.transform("rows", lambda r: r["score"])).alias("top"))
+    nothing = F.struct(
+        F.transform("rows", lambda r: F.lit(0.0)).alias("nearest"), F.array().cast("array<int>").alias("chosen"), F.lit(0).cast("bigint").alias("used"))
+
+    def step(state, _):
+        worth = F.transform("rows", lambda r, i: F.when(
+            ~F.array_contains(state["chosen"], i) & (state["used"] + r["n"] <= budget),
+            F.struct(F.round(
+                weight * F.coalesce(F.try_divide(r["score"], F.col("top")), F.lit(0.0)) - (1 - weight) * F.get(state["nearest"], i), DIVERSE_DIGITS).alias("worth"), (-i).alias("place"))))
+        return let(F.array_max(worth), lambda next_: F.when(next_.isNull(), state).otherwise(F.struct(
+            F.transform(state["nearest"], lambda near, i: F.greatest(near, F.get(F.get("alike", i), -next_["place"]))).alias("nearest"),
+            F.concat(state["chosen"], F.array(-next_["place"])).alias("chosen"),
+            (state["used"] + F.get("rows", -next_["place"])["n"]).alias("used"))))
+
+    steps = F.sequence(F.lit(1), F.size("rows"))
+    chosen = cases.select("query_id", "rows", F.aggregate(steps, nothing, step).alias("end"))
+    of = lambda i: F.get("rows", i)
+    chosen = chosen.select(
+        "query_id", F.size("end.chosen").cast("bigint").alias("n_passages"), F.col("end.used").alias("n_words"),
+        F.array_join(F.transform("end.chosen", lambda i: F.concat_ws(":", of(i)["doc_id"], of(i)["chunk"])), " ").alias("cited"),
+        F.array_join(F.transform("end.chosen", lambda i: F.array_join(of(i)["tokens"], " ")), "\n").alias("context"))
+    kept = queries.select("query_id").join(chosen, "query_id", "left")
+    return kept.select(
+        "query_id",
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_passages", "n_words")],
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("cited", "context")],
+    )

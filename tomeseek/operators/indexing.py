@@ -9,7 +9,7 @@ from tomeseek import schemas
 from tomeseek.functions.text import doc_hash
 from tomeseek.operators.passages import SIZE, STEP
 from tomeseek.session import written
-from tomeseek.sources.index import Index, bucket_count, create_index, write_batch
+from tomeseek.sources.index import Index, bucket_count, create_index, empty_batches, merge_batches, of_documents, write_batch
 
 
 def build_index(docs: DataFrame, path: str, n_buckets: int | None = None, size: int = SIZE, step: int = STEP) -> Index:
@@ -45,9 +45,29 @@ def refresh_index(index: Index, new_docs: DataFrame, remove_missing: bool = True
     With ``remove_missing=False`` documents absent from ``new_docs`` stay.
     ``origin`` names where the documents came from, for ``has_batch_of``.
     """
-    delta = written(index_delta(index.doc_state(), new_docs, removed=remove_missing), "delta")
+    state = index.doc_state()
+    if not remove_missing:
+        # Only the documents that came are asked for: a small micro-batch does not read the whole state.
+        state = of_documents(state, new_docs.select("doc_id"))
+    delta = written(index_delta(state, new_docs, removed=remove_missing), "delta")
     if delta.isEmpty():
         return index
     fresh = new_docs.join(delta.where(F.col("change") != "removed"), "doc_id", "left_semi")
     retired = delta.where(F.col("change") != "added").select("doc_id")
     return write_batch(index, fresh, index.last_batch + 1, retired, origin)
+
+
+def compact_index(index: Index, drop_old: bool = False) -> Index:
+    """The index with all its batches merged into one, as a new snapshot.
+
+    Rows of replaced and removed documents are left behind, counts of terms are
+    added up, and files are one a bucket again. Searches that hold an earlier
+    snapshot go on undisturbed, and a run that is cut off leaves the index as it
+    was. An index of one batch is returned as it is. With ``drop_old`` the merged batches are then emptied,
+    which ends earlier snapshots.
+    """
+    if index.last_batch > index.base:
+        index = merge_batches(index)
+    if drop_old:
+        empty_batches(index)
+    return index

@@ -22,12 +22,7 @@ POSTINGS = (
 DOC_STATE = "doc_id bigint, doc_hash string"
 RETIRED = "doc_id bigint"
 TERM_STATS = "term string, df bigint, doc_df bigint"
-CORPUS_STATS = "n bigint, total_len bigint, n_docs bigint, origin string"
-
-QUERIES = "query_id bigint, text string"
-HITS = "query_id bigint, doc_id bigint, chunk int, score double, rank int"
-GLOSSARY = "entity_id bigint, alias string, kind string"
-MENTIONS = "doc_id bigint, chunk int, pos int, len int, entity_id bigint"
+CORPUS_STATS = "n bigint, total_len bigint, n_docs bigint, origin string, base int"
 
 
 def require(df: DataFrame, ddl: str, name: str) -> DataFrame:

@@ -7,7 +7,8 @@ hashed, so neither a source nor a group of copies can fill a bucket.
 
 Every table is partitioned by ``batch``. Batch 0 is the first build and each
 later batch holds what changed. A batch is published by its row in
-``corpus_stats``, which is written last and names where the batch came from.
+``corpus_stats``, which is written last and names where the batch came from and
+the first batch that still counts (``base``): a merged batch is its own base.
 What is published is never written again; a batch that was cut off before is
 replaced by the next one, which gets its number.
 """
@@ -23,6 +24,7 @@ from tomeseek import schemas
 from tomeseek.functions.text import doc_hash
 from tomeseek.operators import passages as cutting
 from tomeseek.plans.joins import is_small
+from tomeseek.session import written
 
 # Table: columns, sort order within a bucket (None: not bucketed).
 TABLES = {
@@ -34,27 +36,30 @@ TABLES = {
     "corpus_stats": (schemas.CORPUS_STATS, None),
 }
 CHARS_PER_BUCKET = 256 * 1024 * 1024
+#: Documents up to which their ids are pushed to the readers, which then open only their buckets.
+PUSHED_IDS = 500
 
 
 class Index:
-    """A snapshot of the index: all published batches up to ``last_batch``."""
+    """A snapshot of the index: all published batches from ``base`` up to ``last_batch``."""
 
-    def __init__(self, spark: SparkSession, path: str, size: int, step: int, last_batch: int):
-        self.spark, self.path, self.size, self.step, self.last_batch = spark, path, size, step, last_batch
+    def __init__(self, spark: SparkSession, path: str, size: int, step: int, last_batch: int, base: int = 0):
+        self.spark, self.path, self.size, self.step, self.last_batch, self.base = spark, path, size, step, last_batch, base
         self._any_retired: bool | None = None
 
     def before(self, batch: int) -> "Index":
-        return Index(self.spark, self.path, self.size, self.step, min(self.last_batch, batch - 1))
+        """The snapshot that ended just before ``batch``."""
+        return _snapshot(self.spark, self.path, self.size, self.step, min(self.last_batch, batch - 1))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.table(table_name(self.path, name)).where(F.col("batch") <= self.last_batch)
+        return self.spark.table(table_name(self.path, name)).where(F.col("batch").between(self.base, self.last_batch))
 
     def _live(self, name: str) -> DataFrame:
         """Rows of documents no later batch has replaced or removed."""
         rows = self.table(name)
         gone = self.table("retired")
         if self._any_retired is None:
-            self._any_retired = self.last_batch > 0 and not gone.isEmpty()
+            self._any_retired = self.last_batch > self.base and not gone.isEmpty()
         if not self._any_retired:
             return rows.drop("batch")
         gone = gone.groupBy("doc_id").agg(F.max("batch").alias("gone_in"))
@@ -88,8 +93,9 @@ class Index:
         return summed.where(F.col("df") > 0)
 
     def has_batch_of(self, origin: str) -> bool:
-        """Whether a published batch came from ``origin``."""
-        return not self.table("corpus_stats").where(F.col("origin") == origin).isEmpty()
+        """Whether a published batch came from ``origin``, be it merged since or not."""
+        rows = self.spark.table(table_name(self.path, "corpus_stats")).where(F.col("batch") <= self.last_batch)
+        return not rows.where(F.col("origin") == origin).isEmpty()
 
     def corpus_stats(self) -> DataFrame:
         """One row: n passages, total_len words in them, avgdl, n_docs."""
@@ -148,8 +154,16 @@ def open_index(spark: SparkSession, path: str) -> Index:
     for name in TABLES:
         spark.sql(f"MSCK REPAIR TABLE {table_name(path, name)}")
         spark.catalog.refreshTable(table_name(path, name))
-    last = spark.table(table_name(path, "corpus_stats")).agg(F.max("batch")).first()[0]
-    return Index(spark, path, layout["size"], layout["step"], -1 if last is None else last)
+    return _snapshot(spark, path, layout["size"], layout["step"])
+
+
+def _snapshot(spark: SparkSession, path: str, size: int, step: int, last: int | None = None) -> Index:
+    """The newest snapshot, or the one that ends with batch ``last``."""
+    rows = spark.table(table_name(path, "corpus_stats"))
+    if last is not None:
+        rows = rows.where(F.col("batch") <= last)
+    found = rows.agg(F.max("batch").alias("last"), F.max("base").alias("base")).first()
+    return Index(spark, path, size, step, -1 if found["last"] is None else found["last"], found["base"] or 0)
 
 
 def _put(index: Index, name: str, rows: DataFrame, batch: int) -> DataFrame:
@@ -162,6 +176,14 @@ def _put(index: Index, name: str, rows: DataFrame, batch: int) -> DataFrame:
     return spark.table(target).where(F.col("batch") == batch).drop("batch")
 
 
+def _move(index: Index, name: str, rows: DataFrame, batch: int) -> None:
+    """Write ``rows`` of a table as another batch of it. Spark overwrites no table that it reads: what an earlier try left goes first."""
+    columns = TABLES[name][0]
+    _put(index, name, index.spark.createDataFrame([], columns), batch)
+    wanted = rows.select(*[c.split()[0] for c in columns.split(", ")])
+    index.spark.sql(f"INSERT INTO TABLE {table_name(index.path, name)} PARTITION (batch = {batch}) SELECT * FROM {{rows}}", rows=wanted)
+
+
 def _term_counts(posts: DataFrame) -> DataFrame:
     """df and doc_df. The inner level is within documents, hence within a bucket."""
     by_doc = posts.groupBy("doc_id", "term").agg(F.count("*").alias("in_doc"))
@@ -195,9 +217,9 @@ def write_batch(index: Index, docs: DataFrame, batch: int, retired: DataFrame |
     if retired is None:
         retired = spark.range(0).withColumnRenamed("id", "doc_id")
     else:
-        old = index.before(batch).passages()
-        gone = old.join(F.broadcast(retired) if is_small(retired) else retired, "doc_id", "left_semi")
-        lost = gone.select("doc_id", "chunk", F.explode(F.array_distinct("tokens")).alias("term"))
+        gone = of_documents(index.before(batch).passages(), retired)
+        gone = written(gone.select("doc_id", "chunk", "n_tokens", F.array_distinct("tokens").alias("terms")), "retired-passages")
+        lost = gone.select("doc_id", "chunk", F.explode("terms").alias("term"))
         minus = _term_counts(lost).select("term", (-F.col("df")).alias("df"), (-F.col("doc_df")).alias("doc_df"))
         terms = terms.unionByName(minus)
         less = _corpus_counts(gone)
@@ -205,5 +227,55 @@ def write_batch(index: Index, docs: DataFrame, batch: int, retired: DataFrame |
         corpus = corpus.agg(*[F.sum(c).alias(c) for c in less.columns])
     _put(index, "retired", retired, batch)
     _put(index, "term_stats", terms, batch)
-    _put(index, "corpus_stats", corpus.withColumn("origin", F.lit(origin).cast("string")), batch)
-    return Index(index.spark, index.path, index.size, index.step, max(index.last_batch, batch))
+    return _publish(index, corpus, batch, origin, index.base)
+
+
+def _publish(index: Index, corpus: DataFrame, batch: int, origin: str | None, base: int) -> Index:
+    """The row that makes a batch count, and the snapshot that ends with it."""
+    _put(index, "corpus_stats", corpus.withColumns({"origin": F.lit(origin).cast("string"), "base": F.lit(base)}), batch)
+    return Index(index.spark, index.path, index.size, index.step, max(index.last_batch, batch), base)
+
+
+def of_documents(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` of an index table for the documents of ``ids``, a written table.
+
+    A few ids are pushed to the reader, which opens only their buckets and row
+    groups: the cost follows the ids, not the index.
+    """
+    few = [r["doc_id"] for r in ids.select("doc_id").limit(PUSHED_IDS + 1).collect()]
+    if len(few) <= PUSHED_IDS:
+        return rows.where(F.col("doc_id").isin(few))
+    return rows.join(F.broadcast(ids) if is_small(ids) else ids, "doc_id", "left_semi")
+
+
+def merge_batches(index: Index) -> Index:
+    """All that counts, written as one new batch that is its own base. What is there is only read.
+
+    The tables are read by bucket and written to the same buckets, so nothing
+    but the counts of terms is shuffled.
+    """
+    batch, spark = index.last_batch + 1, index.spark
+    # Spark would drop the buckets of a scan that no join or sum needs, and write each bucket in many files.
+    setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    was = spark.conf.get(setting, None)
+    spark.conf.set(setting, "false")
+    try:
+        for name in ("passages", "postings", "doc_state"):
+            _move(index, name, index._live(name), batch)
+    finally:
+        spark.conf.unset(setting) if was is None else spark.conf.set(setting, was)
+    _put(index, "retired", spark.range(0).withColumnRenamed("id", "doc_id"), batch)
+    _move(index, "term_stats", index.term_stats(), batch)
+    return _publish(index, written(index.corpus_stats().drop("avgdl"), "corpus-counts"), batch, None, batch)
+
+
+def empty_batches(index: Index) -> None:
+    """Take the rows out of all batches before the snapshot's base. Snapshots from before the merge can't be read afterwards.
+
+    ``corpus_stats`` keeps its few rows, which say where each batch came from.
+    """
+    for name in TABLES:
+        if name != "corpus_stats":
+            rows = index.spark.table(table_name(index.path, name))
+            for row in rows.where(F.col("batch") < index.base).select("batch").distinct().orderBy("batch").collect():
+                _put(index, name, index.spark.createDataFrame([], TABLES[name][0]), row["batch"])
