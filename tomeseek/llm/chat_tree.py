@@ -34,6 +34,7 @@ from tokenizers import Tokenizer
 
 from tomeseek.llm.common import kept
 from tomeseek.llm.tokens import byte_letters
+from tomeseek.plans.joins import is_small
 from tomeseek.session import new_folder, written
 
 #: Fixed values of the template.
@@ -151,7 +152,8 @@ def ordered_paths(paths: DataFrame) -> DataFrame:
     # Nodes with more than one child; a conversation's key is the children it takes there.
     forks = paths.where("i > 1").groupBy("p1", "p2").agg(
         *(f(c).alias(f"{c}_{n}") for c in ("n1", "n2") for n, f in (("low", F.min), ("high", F.max)))).where("n1_low <> n1_high or n2_low <> n2_high").select("p1", "p2")
-    taken = paths.where("i = 1").unionByName(paths.where("i > 1").join(forks, ["p1", "p2"], "left_semi")).select("conv_id", "i", "n1", "n2")
+    forks = written(forks, "forks")
+    taken = paths.where("i = 1").unionByName(paths.where("i > 1").join(F.broadcast(forks) if is_small(forks) else forks, ["p1", "p2"], "left_semi")).select("conv_id", "i", "n1", "n2")
     keys = taken.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "n1", "n2"))).alias("key"))
     ends = paths.groupBy(F.col("conv_id").alias("c")).agg(F.max(F.struct("i", "n1", "n2")).alias("end"))
     whole = keys.join(ends, keys["conv_id"].eqNullSafe(ends["c"])).select(
@@ -234,9 +236,10 @@ def write_chat_stream(conversations: DataFrame, vocabulary: str, *, learned: tup
     key = ["conv_id", "turn", "role", "h1", "h2"]
     texts = turns.dropDuplicates(key).select(*(F.col(c).alias(f"of_{c}") for c in key), "text")
     owned = rows.join(texts, _same(rows, texts, {c: f"of_{c}" for c in key}))
-    made = owned.select("start", "position", "ancestors", "own_from", "role", "text").mapInArrow(encode, STREAM)
+    # Sorted before they are encoded: Spark goes through what it sorts by range twice.
+    ordered = owned.select("start", "position", "ancestors", "own_from", "role", "text").repartitionByRange("start").sortWithinPartitions("start")
     output = ChatStream(new_folder(conversations.sparkSession, "chat-stream"), new_folder(conversations.sparkSession, "chat-paths"))
-    made.repartitionByRange("start").sortWithinPartitions("start").write.parquet(output.stream)
+    ordered.mapInArrow(encode, STREAM).write.parquet(output.stream)
     paths.select("conv_id", "i", "n1", "n2").join(nodes, ["n1", "n2"]).select("conv_id", "i", "start").write.parquet(output.paths)
     return output
 
