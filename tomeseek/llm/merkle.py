@@ -220,7 +220,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     raised = leaf_of(**values | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1})
     slim = docs.select(F.col("doc_id").cast("bigint"), F.col("lang"), leaf_of(**values).alias("leaf"), F.when(changed, raised).alias("tampered"))
     first = [F.col("lang").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf")]
-    rows = numbered(slim, first, ["lang"])
+    # Written before it is sorted by range, which goes through its rows twice: texts are read and hashed once.
+    rows = numbered(written(slim, "leaf-digests"), first, ["lang"])
     # A number for each language, in the order of their subroots.
     names = numbered(rows.where("i = 0").select("lang"), [F.col("lang").asc_nulls_first()], []).select(F.col("lang").alias("of"), F.col("i").alias("tree"), F.col("n").alias("trees"))
     names = written(names, "languages")
