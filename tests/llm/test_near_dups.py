@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from conftest import FOLDER
-from tomeseek.llm import near_dups, queries
+from tomeseek.llm import copies, near_dups, queries
 from tomeseek.llm.components import components
 
 DOCS = "doc_id bigint, text string, lang string, text_hash int"
@@ -110,5 +110,52 @@ def test_copies_equal_all_pairs_by_similarity(spark):
     assert {r.doc_id for r in kept} == want and len(want) < 40
     # Pairs of similarity 0.8 to 0.85 share a band.
     close = [(a, b) for a in bags for b in range(a) if bags[a] and 0.8 <= (bags[a] & bags[b]).total() / (bags[a] | bags[b]).total() < 0.85]
-    bands = {i: set(near_dups.bands_of(t, 5)) for i, t in docs}
+    bands = {i: set(copies.bands_of(t, 5)) for i, t in docs}
     assert len(close) > 20 and sum(bool(bands[a] & bands[b]) for a, b in close) >= 0.99 * len(close)
+
+
+def _unlike_crowd(draw, m, words, edits, apart=1):
+    """``m`` texts made from one that is not among them, with changed words so far apart."""
+    base = [f"w{i}" for i in range(words)]
+    for k in range(m):
+        new = list(base)
+        for at in draw.sample(range(0, words, apart), edits):
+            new[at] = f"x{k}_{at}"
+        yield " ".join(new)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_crowds_equal_all_pairs(spark, edits):
+    """Crowds of texts that are all, partly or never alike, and one group of copies beside a larger one under the same bands."""
+    draw = random.Random(edits)
+    texts = list(_unlike_crowd(draw, 40, 100, edits)) + [f"{t} {'tail ' * 30}" for t in _unlike_crowd(draw, 12, 100, edits)] + [f"{t} {'other tail ' * 4}" for t in _unlike_crowd(draw, 12, 100, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = {i: copies.elements(t, 5) for i, t in enumerate(texts)}
+    want = groups(sets, lambda a, b: copies.similarity(sets[a], sets[b]) >= 0.8)
+    rows, classes = near_dups.near_duplicates(docs)
+    got = {r.doc_id: r.component_id for r in rows.join(classes, "fp").collect()}
+    assert got == want
+
+
+def test_rare_pairs_lose_none_and_grow_in_proportion(spark):
+    counts = []
+    for m in (60, 120, 240):
+        draw = random.Random(m)
+        texts = list(_unlike_crowd(draw, m, 120, 3, 10))
+        for base in range(m // 6):  # pairs of any likeness and length
+            one = [f"y{base}_{i}" for i in range(draw.randint(20, 90))]
+            two = list(one)
+            for at in draw.sample(range(len(two)), draw.randint(0, len(two) // 12)):
+                two[at] += "z"
+            texts += [" ".join(one), " ".join(two[draw.randint(0, 9):])]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        held = copies.Texts(docs, "text", 5, 0.8)
+        nodes = docs.select(copies.text_hash("text").alias("node"), "doc_id").collect()
+        ids = {r.node: r.doc_id for r in nodes}
+        roots = spark.createDataFrame([(n, n) for n in ids], "node bigint, root bigint")
+        pairs = {tuple(sorted((ids[r.a], ids[r.b]))) for r in copies.rare_pairs(held, roots.select("node"), roots).collect()}
+        sets = [copies.elements(t, 5) for t in texts]
+        alike = {(a, b) for b in range(len(sets)) for a in range(b) if texts[a] != texts[b] and copies.similarity(sets[a], sets[b]) >= 0.8}
+        assert alike <= pairs
+        counts.append(len(pairs))
+    assert counts[2] < 6 * counts[0] and counts[2] < 240

@@ -19,8 +19,8 @@ with bounded work for any variant however many copies a text has.
 
 Two bits are far less than what near copies differ by: texts of five-word Jaccard
 similarity 0.8 are some nine bits apart, which no table of pivots tells from chance.
-Where a similarity is asked, texts meet under bands of minimum hashes instead, and
-each link is a pair of texts whose shingles were compared.
+Where a similarity is asked, texts meet as ``copies`` has it instead, and each link is
+a pair of texts whose shingles were compared.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeseek.llm.common import free_name, text_hash
 from tomeseek.llm.components import components
+from tomeseek.llm.copies import shingle_hashes, similar_links
 from tomeseek.session import written
 
 #: Bits by which linked fingerprints differ at most. The cells and variants are those of two steps.
@@ -42,9 +42,6 @@ RADIUS = 2
 WORDS = 3
 #: Shingle and least similarity of copies if nothing else is asked.
 COPY_WORDS, SIMILARITY = 5, 0.8
-#: Bands of so many minimum hashes: texts of similarity 0.8 share one of them with probability 0.9996.
-BANDS, ROWS = 20, 5
-SEED = 42
 BLOCKS, BITS = 16, 4
 PIVOT = 0x5BD1E995_9E3779B9
 #: The bits of each block, for either table of pivots: neighbours, and every sixteenth.
@@ -56,15 +53,6 @@ TABLES = (
 STRETCH = 1 << 15
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """The hash of each ``words`` words in a row; of all words where there are fewer."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    shingles = zip(*(parts[i:] for i in range(words))) if len(parts) >= words else [parts]
-    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
-
-
 def fingerprint_of(text: str | None, words: int = WORDS) -> int:
     """SimHash of the shingles, as a signed 64-bit number; 0 where there is no word."""
     hashes = shingle_hashes(text, words)
@@ -136,89 +124,6 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return met.where("a <> b").distinct()
 
 
-def elements(text: str | None, words: int) -> np.ndarray:
-    """The shingles' hashes, sorted, each repetition with one of its own: as a set, they have the weighted Jaccard similarity."""
-    hashes = np.sort(shingle_hashes(text, words))
-    first = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
-    at = np.arange(len(hashes))
-    repeat = at - np.maximum.accumulate(np.where(first, at, 0))
-    return np.sort(hashes + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-_MINS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-
-
-def bands_of(text: str | None, words: int) -> list[int]:
-    """A hash of each band; texts without a word have all in common."""
-    own = elements(text, words)
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(own), 1 << 12):
-        mixed = (own[i : i + (1 << 12), None] ^ _MINS[0]) * (_MINS[1] | np.uint64(1))
-        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)).min(0))
-    return [_signed(xxhash.xxh64_intdigest(x.tobytes(), b)) for b, x in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two texts' ``elements``; 1 where neither has any."""
-    shared = len(np.intersect1d(a, b))
-    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
-
-
-def _bands(text: Column, words: int) -> Column:
-    @F.pandas_udf("array<bigint>")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([bands_of(t, words) for t in batch])
-
-    return of(text)
-
-
-def _similar(a: Column, b: Column, words: int, least: float) -> Column:
-    @F.pandas_udf("boolean")
-    def of(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        last, own = None, elements(None, words)  # a crowd is compared with one text
-        for x, y in pairs:
-            out = []
-            for s, t in zip(x, y):
-                if s != last:
-                    last, own = s, elements(s, words)
-                out.append(similarity(own, elements(t, words)) >= least)
-            yield pd.Series(out, dtype="bool")
-
-    return of(a, b)
-
-
-def similar_links(docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
-    """node, root of all texts (by text_hash) that are linked with another one.
-
-    Under each band all texts are compared with the smallest one; only texts of
-    different groups that still share a band are compared then.
-    """
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct(), "near-texts")
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = docs.select(text_hash(text).alias("node"), F.col(text).alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
-        texts = written(texts, "texts")
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
-            texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        return written(both.where(_similar(F.col("x"), F.col("y"), words, least)).select("a", "b"), "text-links")
-
-    placed = docs.select(text_hash(text).alias("node"), F.explode(_bands(F.col(text), words)).alias("band")).distinct()
-    placed = written(placed, "bands")
-    shared = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band", "low")
-    placed = written(placed.join(shared, "band"), "shared-bands")
-    links = verified(placed.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    roots = components(links)
-    rooted = placed.join(roots, "node", "left").select("band", "low", "node", F.coalesce("root", "node").alias("root"))
-    of_low = roots.select(F.col("node").alias("low"), F.col("root").alias("low_root"))
-    rooted = written(rooted.join(of_low, "low", "left").withColumn("low_root", F.coalesce("low_root", "low")), "rooted-texts")
-    apart = rooted.where("root <> low_root").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"))
-    rest = apart.join(rooted.where("node <> low"), "band").where(
-        (F.col("a_root") != F.col("root")) & ((F.col("root") == F.col("low_root")) | (F.col("a") < F.col("node"))))
-    rest = written(rest.select(F.col("a"), F.col("node").alias("b")).distinct(), "other-texts")
-    return roots if rest.isEmpty() else components(links.unionByName(verified(rest)))
-
-
 def near_duplicates(
     docs: DataFrame, text: str = "text", *, words: int = COPY_WORDS, similarity: float | None = SIMILARITY
 ) -> tuple[DataFrame, DataFrame]:
