@@ -119,7 +119,7 @@ def _unlike_crowd(draw, m, words, edits, apart=1):
     base = [f"w{i}" for i in range(words)]
     for k in range(m):
         new = list(base)
-        for at in draw.sample(range(0, words, apart), edits):
+        for at in draw.sample(range(apart - 1, words - apart + 1, apart), edits):
             new[at] = f"x{k}_{at}"
         yield " ".join(new)
 
