@@ -4,10 +4,15 @@ The fixed patterns give the base spans. Generators of high recall propose more,
 may overlap: loose number runs, tight digit groups, things that look like written-out
 addresses. Each proposal is described by yes-or-no features of its format and its
 surroundings, packed to a number (its cell). Proposals that overlap a base span are
-examples of its kind, the others of none. Small trees are boosted for each kind on the
-counts of all cells and examples of the whole table; no row is sampled or collected,
-only the counts of the cells (8,192 at most). A threshold for each kind is the
-lowest at which enough of the taken proposals of a fold not learned from are examples of it.
+examples of its kind, with the signs hidden by which its pattern knows it (the plus of a phone,
+the notation of an address). Proposals of other kinds are counterexamples, and those that overlap nothing
+have no label: some are of the kind and only written differently. Small trees are boosted for each kind on the
+counts of all cells of the whole table; no row is sampled or collected, only the counts of the cells (16,384 at most).
+
+The trees learn which proposals a pattern finds. Of the proposals of a kind it finds the
+same part c whatever the hidden signs are, and c is what the trees say of examples that they have not
+learned from, on average. So their word over c is the probability that a proposal is of the
+kind: cells where it is a half or more are redacted, if hardly any example of another kind is among them.
 
 All work on texts is DataFrame functions. A text is cut at a pattern (``split``) and
 its matches are listed (``regexp_extract_all``); lengths of the pieces give positions.
@@ -38,13 +43,17 @@ BASE = {
 }
 #: The generators: number runs, digit groups, written-out addresses.
 PROPOSED = {
-    "run": r"(?<![0-9+(])[+(]?[0-9][0-9 ().-]{5,}+(?<=[0-9])",
+    "run": r"(?<![0-9+(])[+(]?[0-9](?:[ ().-]{0,3}[0-9]){5,}+",
     "group": r"(?<![0-9])[0-9]{3,4}+(?:[ ./-]?[0-9]{3,4}){2,4}+(?![0-9])",
-    "address": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{{1,63}}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{{1,63}}+)++",
+    "address": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?(?:\(at\)|\[at\]|@) ?[A-Za-z0-9-]{{1,63}}+(?:(?: ?(?:\(dot\)|\[dot\]) ?|\.)[A-Za-z0-9-]{{1,63}}+)++",
 }
 CONTEXT = r"(?i)(?:mail|contact|phone|tel\b|call|fax|mobile|card|visa|credit|account|host|server|addr|\bip\b)"
-FEATURES = ("at", "dot", "dash", "space", "plus", "7 digits", "10 digits", "14 digits", "17 digits", "luhn", "context", "glued", "octets")
+FEATURES = ("at", "dot", "dash", "space", "plus", "7 digits", "10 digits", "14 digits", "17 digits", "luhn", "context", "glued", "octets", "date")
+#: What is hidden from the trees of a kind. Luhn's digit and the octets stay: a number that fails them is none.
+HIDDEN = {EMAIL: ("dot", "dash", "space"), IP: ("dash", "space"), CARD: ("dot", "dash", "space"), PHONE: ("plus", "space")}
 TREES, RATE = 24, 0.3
+#: Least probability of a redacted cell, least part of examples of the kind among labelled ones there, least number of examples to learn from.
+PROBABLE = 0.5
 PRECISION = 0.97
 LEAST = 20
 
@@ -92,6 +101,7 @@ def _cell(x: Column) -> Column:
     bits = (
         has("@") | has("at)") | has("at]"), has("."), has("-") | has("("), has(" "), value.startswith("+"), n >= 7, n >= 10, n >= 14, n >= 17, luhn(value),
         x["before"].rlike(CONTEXT), x["before"].rlike(r"[\p{L}0-9]$") | x["after"].rlike(r"[\p{L}0-9]"), value.rlike(rf"^{_PART}(?:[.,] ?{_PART}){{3}}$"),
+        value.rlike("^(?:19|20)[0-9]{2}[-./ ][0-9]{1,2}[-./ ][0-9]"),
     )
     return reduce(lambda a, b: a + b, (F.when(bit, F.lit(1 << i)).otherwise(F.lit(0)) for i, bit in enumerate(bits)))
 
@@ -101,7 +111,11 @@ def _overlaps(a: Column, b: Column) -> Column:
 
 
 def spans_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with base (start, kind, end) in order and proposals (start, end, cell, kind of the base span it overlaps, -1: none)."""
+    """``docs`` without the text, with base (start, kind, end) in order and proposed (start, end, cell, kind of the base span it overlaps, -1: none).
+
+    Where ``docs`` has such a name, the new column's begins with an underscore.
+    """
+    base_name, proposed_name = free_name(docs, "base"), free_name(docs, "proposed")
     body = F.coalesce(F.col(text), F.lit(""))
     digit, at = body.rlike("[0-9]"), body.rlike(r"@|\(at\)|\[at\]")
     needs = {EMAIL: F.contains(body, F.lit("@")), IP: digit, CARD: digit, PHONE: F.contains(body, F.lit("+")), "run": digit, "group": digit, "address": at}
@@ -122,12 +136,12 @@ def spans_table(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*map(of_kind, BASE)))
     proposed = F.array_distinct(F.concat(*(
         F.transform(spans[k], lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), _cell(x).alias("cell"))) for k in PROPOSED)))
-    found = cut.withColumns({"base": base, "proposed": proposed}).drop(*names.values(), text)
+    found = cut.withColumns({base_name: base, proposed_name: proposed}).drop(*names.values(), text)
     # Of base spans that overlap a proposal the first one names its kind.
-    labelled = F.transform("proposed", lambda p: F.struct(
+    labelled = F.transform(proposed_name, lambda p: F.struct(
         p["start"].alias("start"), p["end"].alias("end"), p["cell"].alias("cell"),
-        F.coalesce(F.get(F.transform(F.filter("base", lambda b: _overlaps(p, b)), lambda b: b["kind"]), F.lit(0)), F.lit(-1)).alias("kind")))
-    return found.withColumn("proposed", labelled)
+        F.coalesce(F.get(F.transform(F.filter(base_name, lambda b: _overlaps(p, b)), lambda b: b["kind"]), F.lit(0)), F.lit(-1)).alias("kind")))
+    return found.withColumn(proposed_name, labelled)
 
 
 def _margin(trees: list[tuple], cell: int) -> float:
@@ -181,28 +195,36 @@ def boost(cells: dict[int, tuple[float, float]]) -> list[tuple]:
     return trees
 
 
+def _seen(kind: int, cell: int) -> int:
+    """The cell without what is hidden from the kind's trees."""
+    return cell & ~sum(1 << FEATURES.index(name) for name in HIDDEN[kind])
+
+
 def choose_cells(counts: list[tuple[bool, int, int, int]]) -> dict[int, int]:
     """Cell to kind for the cells whose proposals are redacted. ``counts``: late fold, cell, kind (-1: none), number."""
-    cells = sorted({c for _, c, _, _ in counts})
     chosen: dict[int, tuple[float, int]] = {}
     for kind in range(len(KINDS)):
-        tally = {late: {c: [0.0, 0.0] for c in cells} for late in (False, True)}
+        tally: dict[bool, dict[int, list[float]]] = {late: {} for late in (False, True)}
+        others: dict[int, float] = {}
         for late, cell, found, n in counts:
-            tally[late][cell][found != kind] += n
-        trees = boost({c: tuple(v) for c, v in tally[False].items() if sum(v)})
-        score = {c: _margin(trees, c) for c in cells}
-        yes = no = 0.0
-        threshold = math.inf
-        for margin in sorted(set(score.values()), reverse=True):
-            for c in cells:
-                if score[c] == margin:
-                    yes, no = yes + tally[True][c][0], no + tally[True][c][1]
-            if yes + no >= LEAST and yes / (yes + no) >= PRECISION:
-                threshold = margin
-        for c in cells:
-            if score[c] >= threshold and score[c] > chosen.get(c, (-math.inf, 0))[0]:
-                chosen[c] = (score[c], kind)
-    return {c: kind for c, (_, kind) in chosen.items()}
+            seen = _seen(kind, cell)
+            tally[late].setdefault(seen, [0.0, 0.0])[found != kind] += n
+            if found not in (kind, -1):
+                others[seen] = others.get(seen, 0.0) + n
+        examples = {late: sum(v[0] for v in part.values()) for late, part in tally.items()}
+        if examples[False] < LEAST or not examples[True]:
+            continue
+        trees = boost({c: tuple(v) for c, v in tally[False].items()})
+        word = {c: 1 / (1 + math.exp(-_margin(trees, c))) for c in {*tally[False], *tally[True]}}
+        found_part = sum(v[0] * word[c] for c, v in tally[True].items()) / examples[True]
+        for cell in {c for _, c, found, _ in counts if found == -1}:
+            seen = _seen(kind, cell)
+            probable = word[seen] / found_part
+            own = sum(tally[late].get(seen, (0.0, 0.0))[0] for late in tally)
+            # Where a cell has labelled examples, they must be of the kind.
+            if probable >= PROBABLE and own >= PRECISION * (own + others.get(seen, 0.0)) and probable > chosen.get(cell, (0.0, 0))[0]:
+                chosen[cell] = (probable, kind)
+    return {c: kind for c, (_, kind) in sorted(chosen.items())}
 
 
 def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -210,17 +232,19 @@ def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``spans`` are the base spans and the proposals that the trees choose and that
     overlap no base span; of chosen ones that overlap each other the first, longest one stays. Positions
-    are code points, the end exclusive. NULL counts as the empty text. Rows that repeat stay.
+    are code points, the end exclusive. NULL counts as the empty text. Rows that repeat stay, and so do all
+    other columns: where ``docs`` has one named base or spans, the new one's name begins with an underscore.
     """
+    base, proposed, spans = (free_name(docs, name) for name in ("base", "proposed", "spans"))
     table = written(spans_table(docs, text), "private")
     counted = (
-        table.select((F.coalesce(fold_of("doc_id"), F.lit(0)) == 3).alias("late"), F.explode_outer("proposed").alias("p")).where("p is not null")
+        table.select((F.coalesce(fold_of("doc_id"), F.lit(0)) == 3).alias("late"), F.explode_outer(proposed).alias("p")).where("p is not null")
         .groupBy("late", "p.cell", "p.kind").count())
     chosen = choose_cells([(r["late"], r["cell"], r["kind"], r["count"]) for r in counted.collect()])
     kinds = F.create_map(*(F.lit(x) for pair in chosen.items() for x in pair)) if chosen else F.create_map(F.lit(-1), F.lit(0))
     # A proposal that overlaps a base span stays out: that span is redacted as it is.
     more = F.transform(
-        F.filter("proposed", lambda p: (p["kind"] == -1) & F.map_contains_key(kinds, p["cell"])),
+        F.filter(proposed, lambda p: (p["kind"] == -1) & F.map_contains_key(kinds, p["cell"])),
         lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("to"), F.element_at(kinds, p["cell"]).alias("kind")))
     more = F.array_sort(more)
     first = F.aggregate(
@@ -228,7 +252,7 @@ def find_private(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, p: F.when(p["start"] >= acc["at"], F.struct(
             (-p["to"]).alias("at"), F.concat(acc["out"], F.array(F.struct(p["start"].alias("start"), p["kind"].alias("kind"), (-p["to"]).alias("end")))).alias("out"))).otherwise(acc),
         lambda acc: acc["out"])
-    return table.withColumn("spans", F.array_sort(F.concat("base", first))).drop("proposed")
+    return table.withColumn(spans, F.array_sort(F.concat(base, first))).drop(proposed)
 
 
 def count_of(spans: Column | str, kind: int) -> Column:
