@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomeseek.llm.common import fold_of
+from tomeseek.llm.common import fold_of, free_name
 from tomeseek.llm.samples import sample_pieces
 
 #: Hashed n-gram features.
@@ -124,7 +124,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
     """``docs`` with a struct column language: lang_pred, score (0 to 1), ambiguous.
 
     A NULL text or one without a letter is ``und`` with score 0, and so is every text if
-    no language was learned; with one language learned each text has it. Ties go to the first by name. Rows that repeat stay.
+    no language was learned; with one language learned each text has it. Ties go to the first by name. Rows that repeat stay;
+    a column of that name that is there already makes the new one ``_language``.
     """
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -143,4 +144,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text")
                 out.append((model.languages[first], float(share[first]), bool(share[first] - share[second] < LEAD)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "ambiguous"])
 
-    return docs.withColumn("language", predict(F.col(text)))
+    return docs.withColumn(free_name(docs, "language"), predict(F.col(text)))

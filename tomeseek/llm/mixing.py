@@ -146,9 +146,10 @@ def mixed_documents(docs: DataFrame, *, domain: Column, share: float, weights: d
     """The rows of ``docs``, as many times as their leaf's budget takes them, with all columns. See ``mixture``."""
     _, plan = mixture(docs, domain=domain, share=share, weights=weights, epochs=epochs, seed=seed)
     leaf = {level: free_name(docs, f"leaf_{level}") for level in LEVELS}
-    cut = plan.select(*(F.col(level).alias(leaf[level]) for level in LEVELS), F.col("full").alias("__full"), F.col("last").alias("__last"))
+    full, last, copies, copy = (free_name(docs, name) for name in ("full", "last", "copies", "copy"))
+    cut = plan.select(*(F.col(level).alias(leaf[level]) for level in LEVELS), F.col("full").alias(full), F.col("last").alias(last))
     named = docs.withColumns({leaf[k]: c for k, c in _leaf_columns(domain).items()}).where(token_count("text") > 0)
-    here = place(seed, "__full", "doc_id", "text")
-    copies = (F.col("__full") + (here <= F.col("__last")).cast("bigint")).cast("int")
-    out = named.join(cut, list(leaf.values())).withColumn("__copies", copies).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    here = place(seed, full, "doc_id", "text")
+    taken = (F.col(full) + (here <= F.col(last)).cast("bigint")).cast("int")
+    out = named.join(cut, list(leaf.values())).withColumn(copies, taken).where(F.col(copies) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

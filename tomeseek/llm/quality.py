@@ -91,10 +91,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fit on the rows of ``labels`` (doc_id, quality 0 or 1) outside fold 2; other values of quality are left out.
 
     Folds 0 and 1 give the dictionaries (DICTIONARY_BLOCKS blocks of each class), fold
-    3 the curve (CURVE_TEXTS texts of each class, weighted by the class's size): samples by hash, of all labelled rows. If
+    3 the curve (CURVE_TEXTS texts of each class, weighted by the class's size): samples by hash, of all labelled rows with a text. If
     a class has no row, every text gets the share of good ones among the labels (0.5 if there are none).
     """
     known = labels.where(F.col("quality").isin(0, 1) & (fold_of("doc_id") != 2)).select("doc_id", F.col("quality").cast("int").alias("group"))
+    docs = docs.where(F.col("text").isNotNull())
     pieces = sample_pieces(docs, known.where(fold_of("doc_id") < 2), DICTIONARY_BLOCKS, BLOCK)
     counts = {r["group"]: r["count"] for r in known.join(docs.select("doc_id"), "doc_id").groupBy("group", (fold_of("doc_id") == 3).alias("late"))
               .count().where("late").collect()}
