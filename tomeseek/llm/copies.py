@@ -3,8 +3,7 @@
 Each distinct text has a sketch: minimum hashes of its shingles, in bands. Texts that
 share a band meet, but not each with each other: in every band all are compared with one
 of them, the one that shares most bands with others, as the text that copies were made from does.
-Those that are not in its group are compared with the next such one, as long as that joins
-a fair part of them.
+Those that are not like it are compared with the next such one, as long as most are alike.
 
 What is left are crowds whose members are partly alike at most, where such rounds would
 come to all pairs. There only texts meet that share a rare shingle: with the shingles
@@ -38,7 +37,7 @@ BANDS, ROWS = 20, 5
 #: How far below the asked similarity the sketches' estimate may be: five of its standard deviations.
 DOUBT = 0.2
 #: A round of comparisons is followed by another if at least this part of its pairs was alike.
-FAIR = 0.1
+FAIR = 0.5
 #: Pairs of one text that a task compares.
 CROWD = 1000
 #: Classes of length for each step by the similarity.
@@ -224,25 +223,22 @@ def similar_links(docs: DataFrame, text: str, words: int, least: float) -> DataF
     members = written(placed.join(shared, "band"), "shared-bands")
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
     members = written(members.drop("size").join(degrees, "node"), "members")
-    active = members.withColumn("root", F.col("node"))
-    links, first = None, None
+    active, links, first = members, None, None
     while True:
-        chosen = active.groupBy("band").agg(F.max(F.struct("degree", "node", "root")).alias("p"))
-        pivots = written(chosen.select("band", F.col("p.node").alias("a"), F.col("p.root").alias("a_root")), "band-pivots")
+        pivots = active.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("p")).select("band", F.col("p.node").alias("a"))
+        pivots = written(pivots, "band-pivots")
         first = pivots if first is None else first
-        pairs = written(active.join(pivots, "band").where("root <> a_root").select("a", F.col("node").alias("b")).distinct(), "text-pairs")
+        compared = written(active.join(pivots, "band").where("node <> a").select("band", "a", "node", "degree"), "compared-texts")
+        pairs = written(compared.select("a", F.col("node").alias("b")).distinct(), "text-pairs")
         found = texts.links(pairs)
         asked, alike = pairs.count(), found.count()
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        rooted = members.join(roots, "node", "left").select("band", "node", "degree", F.coalesce("root", "node").alias("root"))
-        rooted = written(rooted, "rooted-texts")
-        # Only texts that are still apart from their band's text go on.
-        of_pivot = pivots.select("band", F.col("a").alias("node")).join(rooted.select("node", "root").distinct(), "node").select("band", F.col("root").alias("a_root"))
-        still = active.select("band", "node").join(rooted, ["band", "node"]).join(of_pivot, "band").where("root <> a_root").drop("a_root")
-        active = written(still, "apart")
-        if alike < FAIR * asked or active.isEmpty():
+        if alike < FAIR * asked or alike == asked:
             break
+        # Only texts that are not like their band's text go on.
+        active = compared.join(found.withColumnRenamed("b", "node"), ["a", "node"], "left_anti").select("band", "node", "degree")
+    roots = components(links)
+    rooted = written(members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "rooted-texts")
     # Texts of another group than the first one chosen in one of their bands.
     of_first = first.select("band", F.col("a").alias("node")).join(rooted.select("node", "root").distinct(), "node").select("band", F.col("root").alias("first_root"))
     mixed = written(rooted.join(of_first, "band").withColumn("odd", F.col("root") != F.col("first_root")), "mixed-bands")
