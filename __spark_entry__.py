@@ -192,6 +192,10 @@ def bm25_search_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return search.bm25_search(asked, _index(spark, folder), K)
 
 
+def feedback_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.feedback_search(tables.questions(spark, folder), _index(spark, folder), K)
+
+
 def phrase_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.phrase_search(tables.questions(spark, folder), _index(spark, folder))
 
@@ -297,6 +301,7 @@ QUERIES = {
     "stream_ingest": stream_ingest,
     "bm25_search": bm25_search,
     "bm25_search_filtered": bm25_search_filtered,
+    "feedback_search": feedback_search,
     "phrase_search": phrase_search,
     "proximity_search": proximity_search,
     "vector_search": vector_search,

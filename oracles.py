@@ -75,6 +75,19 @@ def _bm25(name: str = "hits", k: int = 10, b: float = 0.75) -> str:
   FROM {name}_scored QUALIFY rank <= {k})"""
 
 
+FEEDBACK = """fed AS (SELECT h.query_id, unnest(c.tokens) AS term, 1::DOUBLE / len(c.tokens) AS part
+  FROM hits h JOIN cut c ON h.doc_id = c.doc_id AND h.chunk = c.chunk WHERE h.rank <= 3),
+worth AS (SELECT query_id, term, round(sum(part) * ln(1::DOUBLE + (max(n) - max(df) + 0.5::DOUBLE) / (max(df) + 0.5::DOUBLE)), 6) AS score
+  FROM fed JOIN stats USING (term), corpus WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM hits_terms) GROUP BY query_id, term),
+added AS (SELECT query_id, term, score FROM worth QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) <= 10),
+more_terms AS (SELECT query_id, term, qtf::DOUBLE AS qtf FROM hits_terms
+  UNION ALL SELECT query_id, term, round(0.5 * score / max(score) OVER (PARTITION BY query_id), 6) FROM added),
+more_scored AS (
+  SELECT query_id, doc_id, chunk, round(sum(
+    qtf * ln(1::DOUBLE + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE
+      / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 4) AS score
+  FROM more_terms JOIN post USING (term) JOIN stats USING (term), corpus GROUP BY ALL)"""
+
 CONTEXT = """found AS (SELECT h.query_id, h.doc_id, h.chunk, h.rank, c.tokens
   FROM hits h JOIN cut c ON h.doc_id = c.doc_id AND h.chunk = c.chunk),
 single AS (SELECT * FROM found
@@ -319,6 +332,8 @@ WHERE o.text IS DISTINCT FROM e.text OR o.lang IS DISTINCT FROM e.lang OR o.sour
     "bm25_search": _with(*INDEX, QUESTIONS, _bm25(), "SELECT query_id, doc_id, chunk, score, rank FROM hits"),
     "bm25_search_filtered": _with(
         *INDEX, QUESTIONS_BY_LANG, _bm25(), "SELECT query_id, doc_id, chunk, score, rank FROM hits"),
+    "feedback_search": _with(*INDEX, QUESTIONS, _bm25(k=3), FEEDBACK, """SELECT *,
+  (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk))::INTEGER AS rank FROM more_scored QUALIFY rank <= 10"""),
     "phrase_search": _with(_tokens(), PHRASE, "SELECT * FROM phrase_hits"),
     "proximity_search": _with(_tokens(), PROXIMITY, """SELECT query_id, doc_id, start::INTEGER AS start, width::INTEGER AS width,
   (row_number() OVER (PARTITION BY query_id ORDER BY width, doc_id))::INTEGER AS rank FROM shortest QUALIFY rank <= 10"""),
