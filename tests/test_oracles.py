@@ -26,7 +26,8 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.QUERIES) == set(entry.ORACLES)
+    # Learned codes can't be followed in SQL: that query's recall is tested on its own.
+    assert set(entry.QUERIES) == {*entry.ORACLES, "vector_search_quantised"}
 
 
 def test_entry(spark):
