@@ -19,6 +19,7 @@ from tomeseek.plans.glossary import corpus_glossary  # noqa: E402
 from tomeseek.session import new_folder, written  # noqa: E402
 from tomeseek.sources import tables  # noqa: E402
 from tomeseek.sources.index import Index  # noqa: E402
+from tomeseek.streaming import standing  # noqa: E402
 from tomeseek.streaming.ingest import ingest_stream  # noqa: E402
 
 K = 10
@@ -181,6 +182,16 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return ingest_stream(spark, source, index, new_folder(spark, "stream-state"), max_files=2).term_stats()
 
 
+def standing_questions(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, as a stream of four files, matched with the first eight words of each question."""
+    docs, asked = tables.documents(spark, folder), tables.questions(spark, folder)
+    source = new_folder(spark, "arriving")
+    docs.repartition(4, "doc_id").write.parquet(source)
+    short = asked.select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
+    questions = standing.file_questions(short, _index(spark, folder).term_stats())
+    return standing.match_stream(spark, source, questions, new_folder(spark, "matches"), new_folder(spark, "match-state"), max_files=2)
+
+
 # Search
 
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,6 +319,7 @@ QUERIES = {
     "index_refresh": index_refresh,
     "index_compact": index_compact,
     "stream_ingest": stream_ingest,
+    "standing_questions": standing_questions,
     "bm25_search": bm25_search,
     "bm25_search_filtered": bm25_search_filtered,
     "feedback_search": feedback_search,

@@ -317,6 +317,8 @@ FROM copies LEFT JOIN labels l USING (doc_id) GROUP BY ROLLUP (lang, source)""")
   positions, len::INTEGER AS len, lang, source FROM post"""),
     "term_stats": TERM_STATS,
     "stream_ingest": TERM_STATS,
+    "standing_questions": _with(_tokens(), f"""kept_questions AS (SELECT item_id AS query_id, list_distinct({WORDS.format("array_to_string(string_split(text, ' ')[1:8], ' ')")}) AS needs FROM benchmark)""",
+        "SELECT query_id, doc_id FROM kept_questions JOIN tok ON list_has_all(w, needs) WHERE len(needs) > 0"),
     "passage_stats": _with(_tokens(), CUT, "SELECT doc_id, chunk, len(tokens)::INTEGER AS len FROM cut"),
     "corpus_stats": _with(_tokens(), CUT, CORPUS, "SELECT * FROM corpus"),
     "keyterms": _with(*INDEX, WEIGHTS, """SELECT *,
