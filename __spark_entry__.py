@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracles import ORACLES  # noqa: E402
 from tomeseek.functions import dense  # noqa: E402
-from tomeseek.operators import cleaning, collection, context, indexing, names, passages, quantised, ranking, search, vectors  # noqa: E402
+from tomeseek.operators import cleaning, collection, context, indexing, names, passages, quantised, ranking, search, vector_upkeep, vectors  # noqa: E402
 from tomeseek.plans.ask import answer_context as ask  # noqa: E402
 from tomeseek.plans.glossary import corpus_glossary  # noqa: E402
 from tomeseek.session import new_folder, written  # noqa: E402
@@ -231,6 +231,15 @@ def vector_search_ivf(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.vector_search_ivf(_vector_queries(spark, folder), _label_index(spark, folder), K, 8)
 
 
+def vector_index_upkeep(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact search on an index built from half of the vectors, to which the others came in two updates and from which some went."""
+    rows = tables.embeddings(spark, folder)
+    index = vectors.build_vector_index(rows.where("vec_id % 2 = 0"), new_folder(spark, "kept-vectors"), N_LISTS)
+    index = vector_upkeep.update_vectors(index, rows.where("vec_id % 4 = 1"), rows.where("vec_id % 14 = 0").select("vec_id"))
+    index = vector_upkeep.update_vectors(index, rows.where("vec_id % 4 = 3"), crowded=2.0)
+    return vectors.vector_search(_vector_queries(spark, folder), index, K)
+
+
 def vector_search_quantised(spark: SparkSession, folder: str) -> DataFrame:
     """On sixteen bytes a vector; no SQL, recall is in tests/test_quantised.py."""
     return quantised.vector_search_quantised(_vector_queries(spark, folder), _codes(spark, folder), K)
@@ -328,6 +337,7 @@ QUERIES = {
     "vector_search": vector_search,
     "vector_search_ivf": vector_search_ivf,
     "vector_search_quantised": vector_search_quantised,
+    "vector_index_upkeep": vector_index_upkeep,
     "rank_fusion": rank_fusion,
     "related_documents": related_documents,
     "conversation_queries": conversation_queries,

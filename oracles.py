@@ -348,6 +348,7 @@ WHERE o.text IS DISTINCT FROM e.text OR o.lang IS DISTINCT FROM e.lang OR o.sour
   any_value(p_value) AS p_value FROM both_gains, p_values"""),
     "vector_search": "WITH " + VECTORS,
     "vector_search_ivf": "WITH " + IVF,
+    "vector_index_upkeep": "WITH " + VECTORS.replace("FROM asked, embeddings", "FROM asked, embeddings WHERE vec_id % 14 <> 0"),
     "rank_fusion": _with(*INDEX, QUESTIONS, _bm25(), _bm25("plain", b=0.0), """fused AS (
   SELECT query_id, doc_id, chunk, round(sum(1::DOUBLE / (60 + rank)), 8) AS score
   FROM (SELECT query_id, doc_id, chunk, rank FROM hits UNION ALL SELECT query_id, doc_id, chunk, rank FROM plain)
