@@ -6,7 +6,7 @@ table of lists as it is then. A segment is part of the index once its row in ``s
 written, which is last; nothing that is published is written again, so searches that hold an
 earlier state go on, and an update that is cut off leaves the index as it was.
 
-An update reads the vectors of the lists it changes, and no others.
+An update reads the ids of all vectors, to find those that are gone, and the vectors of the lists it changes.
 """
 
 from __future__ import annotations
