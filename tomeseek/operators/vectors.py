@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tomeseek.functions import dense
 from tomeseek.functions.scoring import best, norm
 from tomeseek.plans.joins import SALTS
+from tomeseek.session import written
 
 # The scoring code travels with its tasks: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(dense)
@@ -99,7 +100,7 @@ def vector_search_ivf(queries: DataFrame, index: VectorIndex, k: int, n_probe: i
     def search(block: "_Block") -> DataFrame:
         return block.scan(index, block.nearest(n_probe), np.full(len(block.ids), ANYWHERE), k)
 
-    return best(_in_blocks(queries, index, search), k, ties=("vec_id",))
+    return best(_in_blocks(queries, index, search, k), k, ties=("vec_id",))
 
 
 def vector_search(queries: DataFrame, index: VectorIndex, k: int, first_lists: int = 2) -> DataFrame:
@@ -118,7 +119,7 @@ def vector_search(queries: DataFrame, index: VectorIndex, k: int, first_lists: i
         bound[np.searchsorted(block.ids, last["query_id"].to_numpy())] = np.sqrt(np.maximum(2 - 2 * least, 0)) + SLACK
         return block.scan(index, block.distance - block.radius[None, :] <= bound[:, None], bound, k)
 
-    return best(_in_blocks(queries, index, search), k, ties=("vec_id",))
+    return best(_in_blocks(queries, index, search, k), k, ties=("vec_id",))
 
 
 class _Block:
@@ -154,7 +155,7 @@ class _Block:
         )
 
 
-def _in_blocks(queries: DataFrame, index: VectorIndex, search: Callable[[_Block], DataFrame]) -> DataFrame:
+def _in_blocks(queries: DataFrame, index: VectorIndex, search: Callable[[_Block], DataFrame], k: int) -> DataFrame:
     lists = index.lists().select("list_id", "center", "radius").toArrow()
     queries = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
     n_blocks = -(-queries.count() // max(1, min(BLOCK_QUERIES, BLOCK_PROBES // max(1, len(lists)))))
@@ -164,5 +165,8 @@ def _in_blocks(queries: DataFrame, index: VectorIndex, search: Callable[[_Block]
         block = queries.where(number == i).toArrow()
         if block.num_rows:
             found.append(search(_Block(block, lists)))
+            if n_blocks > 1:
+                # Block by block: one block's queries and bounds are held at a time.
+                found[-1] = written(best(found[-1], k, ties=("vec_id",)).drop("rank"), "block-hits")
     nothing = queries.limit(0).selectExpr("query_id", "query_id AS vec_id", "CAST(0 AS double) AS score")
     return reduce(DataFrame.unionByName, found, nothing)
