@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomeseek.functions.text import let
 from tomeseek.operators.passages import SIZE, STEP
 from tomeseek.plans.joins import is_small
+from tomeseek.session import written
 
 TURNS_PER_BLOCK = 64
 #: Conversations have ids below 2^32 and turns below 2^31, so that both fit one query id; others raise.
@@ -114,10 +115,11 @@ def diverse_context(queries: DataFrame, hits: DataFrame, passages: DataFrame, bu
     def like(a, b):
         return F.round(F.size(F.array_intersect(a["kinds"], b["kinds"])) / F.greatest(F.size(F.array_union(a["kinds"], b["kinds"])), F.lit(1)), DIVERSE_DIGITS)
 
-    # Columns of their own, so that the steps below read them and don't make them again.
+    # Written: within a step Spark would make the likenesses again each time it names them.
     cases = cases.select(
         "query_id", "rows", F.transform("rows", lambda a: F.transform("rows", lambda b: like(a, b))).alias("alike"),
         F.array_max(F.transform("rows", lambda r: r["score"])).alias("top"))
+    cases = written(cases, "alike-passages")
     nothing = F.struct(
         F.transform("rows", lambda r: F.lit(0.0)).alias("nearest"), F.array().cast("array<int>").alias("chosen"), F.lit(0).cast("bigint").alias("used"))
 
