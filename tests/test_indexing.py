@@ -201,3 +201,18 @@ def test_few_documents_open_their_buckets_only(spark, make_docs, make_index, buc
     assert "SelectedBucketsCount: 1 out of 3" in bucketed_scans(index_tables.of_documents(index.passages(), ids))
     many = spark.range(1000).withColumnRenamed("id", "doc_id")
     assert sorted(map(str, index_tables.of_documents(index.passages(), many).collect())) == sorted(map(str, index.passages().collect()))
+
+
+def test_a_task_makes_the_postings_of_one_bucket(spark, make_docs):
+    """More buckets than one split of a scan would take: each bucket is one file, as it was sorted in one task."""
+    docs = make_docs({i: f"alpha word{i} beta alpha" for i in range(200)})
+    index = build_index(docs, new_folder(spark, "buckets"), n_buckets=24)
+    files = [f for _, _, names in os.walk(f"{index.path}/postings".removeprefix("file:")) for f in names if f.endswith(".parquet")]
+    assert len(files) == 24
+
+
+def test_buckets_follow_the_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x", "en", "s", 400 << 20)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert index_tables.bucket_count(docs) == 25
+    monkeypatch.setattr(index_tables, "MAX_BUCKETS", 20)
+    assert index_tables.bucket_count(docs) == 20
