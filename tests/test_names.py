@@ -97,3 +97,24 @@ def test_is_small(spark):
     assert not joins.is_small(spark.range(11), max_rows=10)
     assert not joins.is_small(spark.range(1).selectExpr("repeat('x', 2000) AS t"), max_bytes=1000)
     assert joins.is_small(spark.range(0))
+
+
+def test_runs_of_words_that_are_no_name_are_not_shuffled(monkeypatch, spark, make_docs, glossary):
+    large = spark.range(20_000).selectExpr("id", "concat('word ', id) AS alias")
+    keys = spark.range(0, 40_000, 20).selectExpr("concat('word ', id) AS alias")
+    left = {r.id for r in joins.thinned(large, keys, "alias").collect()}
+    assert set(range(0, 20_000, 20)) <= left and len(left) < 1_050
+    # With a glossary that is not small, runs are thinned before they are joined.
+    met = []
+
+    def counted(rows, *given):
+        out = joins.thinned(rows, *given)
+        met.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(names, "is_small", lambda df: False)
+    monkeypatch.setattr(names, "thinned", counted)
+    texts = TEXTS | {20: "z " * 500}
+    got = names.link_entities(passages(make_docs(texts)), glossary)
+    assert sorted(tuple(r) for r in got.collect()) == brute()
+    assert met[0][1] < met[0][0] - 1_400
