@@ -159,3 +159,42 @@ def test_rare_pairs_lose_none_and_grow_in_proportion(spark):
         assert alike <= pairs
         counts.append(len(pairs))
     assert counts[2] < 6 * counts[0] and counts[2] < 240
+
+
+def test_the_pipeline_meets_texts_by_pivots_first(spark, monkeypatch):
+    """The pipeline's near copies go through the tables of pivots, and what these find is compared exactly."""
+    import corpus_pipeline
+    from tomeseek.llm.common import text_hash
+
+    made = random.Random(6)
+    base = [f"w{made.randrange(10**6)}" for _ in range(900)]
+    texts = {i: " ".join([*base, *(f"end{i}" for _ in range(i % 2))]) for i in range(12)}
+    texts |= {100 + i: " ".join(f"v{made.randrange(10**6)}" for _ in range(50)) for i in range(5)}
+    # One bit apart by chance at most: their own fingerprints, far from alike.
+    asked, compared = [], []
+    link, links = near_dups.fingerprint_links, copies.Texts.links
+
+    def pivots(fps):
+        out = link(fps)
+        asked.append(({r.fp for r in fps.collect()}, {tuple(sorted((r.a, r.b))) for r in out.collect()}))
+        return out
+
+    def exact(self, pairs):
+        compared.append({frozenset((r.a, r.b)) for r in pairs.collect()})
+        return links(self, pairs)
+
+    monkeypatch.setattr(near_dups, "fingerprint_links", pivots)
+    monkeypatch.setattr(copies.Texts, "links", exact)
+    docs = spark.createDataFrame([(i, t, "en", 0) for i, t in texts.items()], DOCS)
+    kept = corpus_pipeline.one_of_each(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == {0, *range(100, 105)}
+    fps = {near_dups.fingerprint_of(t, 5) for t in texts.values()}
+    assert asked[0][0] == fps
+    near = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= near_dups.RADIUS}
+    assert near and {x for pair in near for x in pair} == {x for pair in asked[0][1] for x in pair}
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", text_hash("text").alias("h")).collect()}
+    by_fp = {}
+    for i in sorted(texts):
+        by_fp.setdefault(near_dups.fingerprint_of(texts[i], 5), set()).add(hashed[i])
+    # All texts of near fingerprints were compared, before any others were.
+    assert {h for fp in {x for pair in near for x in pair} for h in by_fp[fp]} <= {h for pair in compared[0] for h in pair}

@@ -1,7 +1,8 @@
 """Texts of a given weighted Jaccard similarity of their word shingles, grouped.
 
-Each distinct text has a sketch: minimum hashes of its shingles, in bands. Texts that
-share a band meet, but not each with each other: in every band all are compared with one
+Each distinct text has a sketch: the SimHash of its shingles, and minimum hashes of them, in bands.
+Texts meet first whose fingerprints are found near by the tables of pivots (``near_dups``). Fingerprints
+within that few bits are only part of the near copies, so texts that share a band meet too, but not each with each other: in every band all are compared with one
 of them, the one that shares most bands with others, as the text that copies were made from does.
 Those that are not like it are compared with the next such one, as long as most are alike.
 
@@ -18,7 +19,7 @@ text by text in the order in which a shuffle delivers them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ FAIR = 0.5
 CROWD = 1000
 #: Classes of length for each step by the similarity.
 CLASSES = 4
+#: Shingles whose bits are counted at a time.
+STRETCH = 1 << 15
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -53,9 +56,24 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles), np.uint64)
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed 64-bit number; 0 where there is none."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), STRETCH):
+        part = hashes[i : i + STRETCH].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def elements(text: str | None, words: int) -> np.ndarray:
     """The shingles' hashes, sorted, each repetition with one of its own: as a set, they have the weighted Jaccard similarity."""
-    hashes = np.sort(shingle_hashes(text, words))
+    return elements_of(shingle_hashes(text, words))
+
+
+def elements_of(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
     first = np.r_[True, hashes[1:] != hashes[:-1]][: len(hashes)]
     at = np.arange(len(hashes))
     repeat = at - np.maximum.accumulate(np.where(first, at, 0))
@@ -94,16 +112,16 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketch(text: Column, words: int) -> Column:
-    """n (elements), bands, and marks: a byte of each minimum."""
-    @F.pandas_udf("n int, bands array<bigint>, marks binary")
+    """n (elements), fp (SimHash), bands, and marks: a byte of each minimum."""
+    @F.pandas_udf("n int, fp bigint, bands array<bigint>, marks binary")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             out = []
             for text in batch:
-                own = elements(text, words)
-                least = minima(own)
-                out.append((len(own), _bands(least), least.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["n", "bands", "marks"])
+                hashes = shingle_hashes(text, words)
+                least = minima(elements_of(hashes))
+                out.append((len(hashes), simhash(hashes), _bands(least), least.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(out, columns=["n", "fp", "bands", "marks"])
 
     return of(text)
 
@@ -215,15 +233,28 @@ def rare_pairs(texts: Texts, odd: DataFrame, roots: DataFrame) -> DataFrame:
     return met(odd_longer, shorter).unionByName(met(longer, odd_shorter)).distinct()
 
 
-def similar_links(docs: DataFrame, text: str, words: int, least: float) -> DataFrame:
-    """node, root of all texts (by text_hash) that are linked with another one."""
+def fingerprint_pairs(sketches: DataFrame, link_fingerprints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """a, b: texts (node, fp) of one fingerprint with the first of it, and the first ones of linked fingerprints."""
+    firsts = written(sketches.groupBy("fp").agg(F.min("node").alias("first")), "text-fingerprints")
+    same = sketches.join(firsts, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    x, y = (firsts.select(F.col("fp").alias(p), F.col("first").alias(f"first_{p}")) for p in "ab")
+    linked = link_fingerprints(firsts.select("fp")).join(x, "a").join(y, "b")
+    return same.unionByName(linked.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
+def similar_links(docs: DataFrame, text: str, words: int, least: float, link_fingerprints: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root of all texts (by text_hash) that are linked with another one.
+
+    ``link_fingerprints`` gives links a, b of near ones among distinct fingerprints (fp).
+    """
     texts = Texts(docs, text, words, least)
+    links = texts.links(fingerprint_pairs(texts.sketches.select("node", "fp"), link_fingerprints))
     placed = texts.sketches.select("node", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     members = written(placed.join(shared, "band"), "shared-bands")
     degrees = members.groupBy("node").agg(F.sum("size").alias("degree"))
     members = written(members.drop("size").join(degrees, "node"), "members")
-    active, links, first = members, None, None
+    active, first = members, None
     while True:
         pivots = active.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("p")).select("band", F.col("p.node").alias("a"))
         pivots = written(pivots, "band-pivots")
@@ -232,7 +263,7 @@ def similar_links(docs: DataFrame, text: str, words: int, least: float) -> DataF
         pairs = written(compared.select("a", F.col("node").alias("b")).distinct(), "text-pairs")
         found = texts.links(pairs)
         asked, alike = pairs.count(), found.count()
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         if alike < FAIR * asked or alike == asked:
             break
         # Only texts that are not like their band's text go on.

@@ -19,22 +19,21 @@ with bounded work for any variant however many copies a text has.
 
 Two bits are far less than what near copies differ by: texts of five-word Jaccard
 similarity 0.8 are some nine bits apart, which no table of pivots tells from chance.
-Where a similarity is asked, texts meet as ``copies`` has it instead, and each link is
-a pair of texts whose shingles were compared.
+Where a similarity is asked, texts that the tables find meet first, the others as ``copies``
+has it, and each link is a pair of texts whose shingles were compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomeseek.llm.common import free_name, text_hash
 from tomeseek.llm.components import components
-from tomeseek.llm.copies import shingle_hashes, similar_links
+from tomeseek.llm.copies import shingle_hashes, simhash, similar_links
 from tomeseek.session import written
 
 #: Bits by which linked fingerprints differ at most. The cells and variants are those of two steps.
@@ -49,20 +48,11 @@ TABLES = (
     tuple(((1 << BITS) - 1) << (BITS * b) for b in range(BLOCKS)),
     tuple(sum(1 << (b + BLOCKS * i) for i in range(BITS)) for b in range(BLOCKS)),
 )
-#: Shingles whose bits are counted at a time.
-STRETCH = 1 << 15
 
 
 def fingerprint_of(text: str | None, words: int = WORDS) -> int:
     """SimHash of the shingles, as a signed 64-bit number; 0 where there is no word."""
-    hashes = shingle_hashes(text, words)
-    if not len(hashes):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), STRETCH):
-        part = hashes[i : i + STRETCH].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return simhash(shingle_hashes(text, words))
 
 
 def fingerprint(text: Column | str, words: int = WORDS) -> Column:
@@ -141,7 +131,7 @@ def near_duplicates(
     fp = fingerprint(text, words) if similarity is None else text_hash(text)
     rows = written(docs.select("doc_id", text_hash(text).alias("text_hash"), fp.alias("fp")), "fingerprints")
     own = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    groups = components(fingerprint_links(own.select("fp"))) if similarity is None else similar_links(docs, text, words, similarity)
+    groups = components(fingerprint_links(own.select("fp"))) if similarity is None else similar_links(docs, text, words, similarity, fingerprint_links)
     rooted = own.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
