@@ -266,6 +266,42 @@ def test_edited_lines_go_by_edit_similarity_alone(spark):
     assert got <= {b for _, b in pairs} and len(pairs) > 70 and found >= 0.95 * len(pairs), (found, len(pairs))
 
 
+def test_edits_are_counted_up_to_the_pair_s_own_limit(spark):
+    draw = random.Random(4)
+    pairs = [("abcde", "abcdx"), ("abcd", "abcx"), ("a", "b"), ("\u00e9\u00e8 \u6771\u4eac x", "\u00e9\u00e9 \u6771\u4eac x"), ("a" * 60, "a" * 48)]
+    for n in (10, 40, 64, 65, 90, 257, 400):
+        for share in (0, 0.1, 0.17, 0.2, 0.23, 0.3):
+            first = "".join(draw.choice("abcdefgh ") for _ in range(n))
+            other = list(first)
+            for at in sorted(draw.sample(range(n), int(share * n)), reverse=True):
+                other[at : at + 1] = draw.choice(("", "z", "zz"))
+            pairs.append((" ".join(first.split()), " ".join("".join(other).split())))
+    texts = spark.createDataFrame([(i, k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair)], "pair int, line long, norm string")
+    whole = lines.compared(texts)
+    x, y = (whole.where(F.col("line") == k).select("pair", *(F.col(c).alias(f"{p}_{c}") for c in ("norm", "chunks", "words"))) for k, p in enumerate("ab"))
+    got = {r.pair for r in x.join(y, "pair").where(lines.edit_similar("a", "b")).collect()}
+    want = {i for i, (a, b) in enumerate(pairs) if plain_edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9}
+    assert got == want and 10 < len(want) < len(pairs) - 10
+
+
+def test_blocks_of_a_line_are_written_and_not_its_keys(spark):
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(n)) for n in (3, 14, 17, 20, 30, 34, 35, 60, 130, 500)]
+    table = lines.block_table(lines.plain_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text")).cache()
+    words = {r.doc_id: (r.words, r.least) for r in table.collect()}
+    assert words == {i: (len(t.split()), max(0, math.ceil(math.log2(len(t.split()) / 34)))) for i, t in enumerate(texts)}
+    for r in table.collect():
+        assert len(r.blocks) == min(40, 6 * 2**r.level), r
+    # One more word changes the block of its part alone, of each number of parts.
+    more = [f"{t} another" for t in texts]
+    other = lines.block_table(lines.plain_lines(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), "text"))
+    both = {(r.doc_id, r.level): r.blocks for r in table.collect()}
+    same = [sum(a != b for a, b in zip(r.blocks, both[r.doc_id, r.level])) for r in other.collect() if (r.doc_id, r.level) in both]
+    assert len(same) >= 10 and max(same) <= 1
+    made = Counter(r.line for r in lines.block_keys(table).collect())
+    assert all(made[r.line] >= 10 for r in table.collect() if r.words > 3)
+
+
 def test_short_lines_and_digits(spark):
     price = "item costs {0} euros in shop {1} on day {0} of year {1}"
     rows = [(1, "Les.\n\n12 34\n***\n" + price.format(11111111, 22222222)), (2, "les\n\n12 35\n***\n" + price.format(98765430, 43098765)), (3, "les!\n12 34\n東京")]
