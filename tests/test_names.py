@@ -118,3 +118,11 @@ def test_runs_of_words_that_are_no_name_are_not_shuffled(monkeypatch, spark, mak
     got = names.link_entities(passages(make_docs(texts)), glossary)
     assert sorted(tuple(r) for r in got.collect()) == brute()
     assert met[0][1] < met[0][0] - 1_400
+
+
+@pytest.mark.parametrize("shifted", [1, 8])
+def test_short_and_long_names_meet_the_text_alike(monkeypatch, make_docs, glossary, shifted):
+    """Words ahead as columns of their own, or as slices where names are long."""
+    monkeypatch.setattr(names, "SHIFTED", shifted)
+    got = names.link_entities(passages(make_docs(TEXTS)), glossary)
+    assert sorted(tuple(r) for r in got.collect()) == brute()
