@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 import pytest
 
 from tomeseek import schemas
+from tomeseek.functions import dense
 from tomeseek.operators.passages import passages, postings
 
 TEXTS = {
@@ -65,3 +67,16 @@ def test_the_tokeniser_runs_once_for_each_row(make_docs):
 def test_schema_check(spark):
     with pytest.raises(ValueError, match="text"):
         schemas.require(spark.range(1).withColumnRenamed("id", "doc_id"), schemas.DOCUMENTS, "documents")
+
+
+def test_postings_are_made_in_order_of_their_terms():
+    """Spark then merges a few long runs where the table is sorted by term."""
+    tokens = [["b", "z", "é", "a", "b"], ["ab", "b", "Z", "a"], ["ﬀ", "𐐨", "a"]]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": [3, 3, 5], "chunk": pa.array([0, 1, 0], pa.int32()), "tokens": tokens, "own": pa.array([4, 4, 3], pa.int32()),
+        "lang": ["en"] * 3, "source": ["s"] * 3})
+    (out,) = dense.postings_of(iter([batch]), 4)
+    rows = [(r["term"].encode(), r["doc_id"], r["chunk"]) for r in out.to_pylist()]
+    assert rows == sorted(rows) and len(rows) == sum(len(set(t)) for t in tokens)
+    assert [r["positions"] for r in out.to_pylist() if r["term"] == "b"] == [[0, 4], [5]]
+    assert [r["own_tf"] for r in out.to_pylist() if r["term"] == "b"] == [1, 1]
