@@ -126,3 +126,28 @@ def test_short_and_long_names_meet_the_text_alike(monkeypatch, make_docs, glossa
     monkeypatch.setattr(names, "SHIFTED", shifted)
     got = names.link_entities(passages(make_docs(TEXTS)), glossary)
     assert sorted(tuple(r) for r in got.collect()) == brute()
+
+
+def test_names_that_are_nowhere_are_not_copied_for_salts(monkeypatch, spark, make_docs, glossary):
+    many = glossary.unionByName(spark.range(5000).selectExpr("id + 100 AS entity_id", "concat('name', translate(id, '0123456789', 'abcdefghij')) AS alias", "'k' AS kind"))
+    copied = []
+
+    def counted(large, small, on, spread, *given):
+        copied.append(small.count())
+        return joins.join_small(large, small, on, spread, *given)
+
+    monkeypatch.setattr(names, "is_small", lambda df: False)
+    monkeypatch.setattr(names, "join_small", counted)
+    got = names.link_entities(passages(make_docs(TEXTS)), many)
+    assert sorted(tuple(r) for r in got.collect()) == brute()
+    assert copied and max(copied) < 100
+
+
+def test_frequent_keys_are_joined_apart(monkeypatch, spark):
+    large = joins.written(spark.range(1000).selectExpr("IF(id % 3 = 0, 0, id % 70) AS key", "id"), "test-large")
+    small = spark.range(50).selectExpr("id AS key", "id * 2 AS value")
+    want = sorted(large.join(small, "key").select("key", "id", "value").collect())
+    for is_small in (lambda df: True, lambda df: False):
+        monkeypatch.setattr(joins, "is_small", is_small)
+        for most in (10_000, 100, 3):
+            assert sorted(joins.join_skewed(large, small, "key", ["id"], most).select("key", "id", "value").collect()) == want
